@@ -94,7 +94,12 @@ def scan(text: str, p: SecretScan) -> list[tuple[int, int, str, float]]:
         context = bool(_CONTEXT.search(text[max(0, at - 64) : at]))
         if not context and not form and "/" in s + text[at - 1 : at]:
             continue  # paths and addresses
-        value = novelty(text[max(0, at - p.around) : at], s, text[at + len(s) : at + len(s) + p.around], p)
+        if not context and not form and text[at + len(s) : at + len(s) + 1] == "@":
+            continue  # a mail address
+        before, after = text[max(0, at - p.around) : at], text[at + len(s) : at + len(s) + p.around]
+        if context or form:  # a secret that is written twice is still one
+            before, after = before.replace(s, ""), after.replace(s, "")
+        value = novelty(before, s, after, p)
         if value >= (p.novelty if context or form else p.alone):
             out.append((at, at + len(s), form[0] if form else "assigned" if context else "random", value))
     return out
