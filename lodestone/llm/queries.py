@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, near_dedup, packing, quality, secrets
+from lodestone.llm import ann, bpe, exact_dedup, html_extract, line_dedup, near_dedup, packing, pii, quality, secrets
+
+#: Pruning in vector search: keeps recall above 0.99 on vectors of 64 dimensions without structure.
+ANN_FACTOR = 4.0
+#: The key of the surrogates. Set it in production: who knows it can test guesses.
+PII_KEY = os.environ.get("LODESTONE_PII_KEY", "lodestone").encode()
+VOCABULARY = os.environ.get("LODESTONE_VOCABULARY", bpe.VOCABULARY)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +22,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_common_lines(_documents(spark, sf_dir))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_extract.extract_text(pages, html_extract.fit_extractor(pages))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), factor=ANN_FACTOR)
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(_documents(spark, sf_dir), PII_KEY)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -36,12 +60,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_documents(spark, sf_dir), bpe.load(VOCABULARY))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op3_best_fit_packing, op6_exact_dedup, op7_near_dedup, op8_secret_scans, op9_quality_classifier)}
+    return {q.__name__: q for q in (op1_line_dedup, op2_html_extraction, op3_best_fit_packing, op4_nearest_neighbours, op5_pii_surrogates, op6_exact_dedup, op7_near_dedup, op8_secret_scans, op9_quality_classifier, op10_bpe_encoding)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": line_dedup.SQL,
         "op6_exact_dedup": """
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id,
                    row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS is_duplicate
