@@ -204,7 +204,7 @@ class Batch:
         density, link_share = text / nodes, ratio(linked, text)
         columns = [
             self.kind, self.kind[up], self.depth, (at - first) / count, np.log1p(self.own), ratio(self.words, self.marks + 1), np.log1p(text), np.log1p(nodes), np.log1p(density), link_share, self.good, self.bad, good, bad, np.log1p(children[up]), place / np.maximum(children[up], 1),
-            ratio(alike[inverse].ravel(), children[up]), np.log1p(ratio(sibling_text[up] - text, children[up] - 1.0)), ratio(text, sibling_text[up]), ratio(text, total), np.log1p(before), np.log1p(after), items / nodes, np.log1p(paragraphs), np.log1p(text[up]), np.log1p(density[up]), link_share[up], self.kind[grand], np.log1p(text[grand]),
+            ratio(alike[inverse].ravel(), children[up]), np.log1p(ratio(np.maximum(sibling_text[up] - text, 0), children[up] - 1.0)), ratio(text, sibling_text[up]), ratio(text, total), np.log1p(before), np.log1p(after), items / nodes, np.log1p(paragraphs), np.log1p(text[up]), np.log1p(density[up]), link_share[up], self.kind[grand], np.log1p(text[grand]),
         ]
         return np.stack([np.asarray(c, float) for c in columns], 1)
 

@@ -33,12 +33,14 @@ _CODE = 'const apiKey = process.env.API_KEY; password = os.environ["PASSWORD"];
 class SecretScan:
     """least: shortest candidate. around: characters of surrounding text on each side. novelty: least marginal bytes for
     each byte of information that a random string of the candidate's alphabet has (sensitive context; ``alone`` without).
+    level: of the compression; from 6 on zstandard finds short repeats in short strings.
     identifiers: text of the dictionary of identifiers and code, to be replaced by one's own."""
 
     least: int = 16
     around: int = 160
-    novelty: float = 0.8
-    alone: float = 0.95
+    novelty: float = 0.9
+    alone: float = 1.1
+    level: int = 6
     identifiers: str = _STEMS + " " + _CODE
 
 
@@ -53,8 +55,8 @@ _PREFILTER = r"[A-Za-z0-9+/_\-~.]{16}"
 @cache
 def _compressor(p: SecretScan) -> zstandard.ZstdCompressor:
     primed = zstandard.ZstdCompressionDict(p.identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    primed.precompute_compress(level=3)
-    return zstandard.ZstdCompressor(dict_data=primed, level=3, write_content_size=False, write_checksum=False)
+    primed.precompute_compress(level=p.level)
+    return zstandard.ZstdCompressor(dict_data=primed, level=p.level, write_content_size=False, write_checksum=False)
 
 
 def _information(s: str) -> float:
