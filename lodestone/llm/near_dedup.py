@@ -34,7 +34,7 @@ class NearDedup:
 
     slots: int = 64
     bits: int = 16
-    distance: int = 23
+    distance: int = 25
     errors: int = 1
     shingle: int = 2
     seed: int = 7
