@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.arrow import fixed, flat
+
 _IV = np.array([0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19], np.uint32)
 _SHUFFLE = [2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8]
 _START, _END, _PARENT, _ROOT = 1, 2, 4, 8
@@ -131,13 +133,9 @@ def blake3_hex(data: bytes) -> str:
     return blake3(data).hex()
 
 
-@F.pandas_udf(T.BinaryType())
-def _hash_udf(values: pd.Series) -> pd.Series:
-    some = values.notna()
-    out = pd.Series([None] * len(values), index=values.index, dtype=object)
-    if some.any():
-        out[some] = hash_many(bytes(v) for v in values[some])
-    return out
+@F.arrow_udf(T.BinaryType())
+def _hash_udf(values: pa.Array) -> pa.Array:
+    return fixed(hash_flat(*flat(values)), values)
 
 
 def content_hash(content: Column, algorithm: str = "blake3") -> Column:

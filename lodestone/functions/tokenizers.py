@@ -6,23 +6,23 @@ Counts and pieces that need no hash stay in the JVM; token ids come from vectori
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.errors import IntegrityError, MissingDependencyError
-from lodestone.functions.blake3 import blake3, hash_many
+from lodestone.functions.arrow import flat, lists
+from lodestone.functions.blake3 import blake3, hash_flat
 from lodestone.functions.canonical import canonical_json
 
 TOKENS = T.ArrayType(T.IntegerType())
-_PIECES = rb"([ \t\n\r\f\x0b]+|[^ \t\n\r\f\x0b]+)"
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\f\x0b")] = True
 
 
 class Tokenizer:
@@ -46,18 +46,20 @@ class Tokenizer:
     def decode(self, tokens: np.ndarray) -> bytes:
         raise NotImplementedError(f"{self.tokenizer_id} can't be decoded")
 
+    def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of contents that lie one after another."""
+        ids = self.encode_batch([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        return np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+
     def tokens(self, content: Column) -> Column:
         """Token ids of a binary column; null for null."""
         config = self.config()
 
-        @F.pandas_udf(TOKENS)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf(TOKENS)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokenizer = from_config(config)
             for values in batches:
-                some = values.notna()
-                ids = iter(tokenizer.encode_batch([bytes(v) for v in values[some]]))
-                out = pd.Series([next(ids).astype(np.int32).tolist() if here else None for here in some], index=values.index, dtype=object)
-                yield out
+                yield lists(*tokenizer.encode_flat(*flat(values)), values)
 
         return run(content.cast("binary"))
 
@@ -78,6 +80,9 @@ class ByteTokenizer(Tokenizer):
     def encode_batch(self, contents: list[bytes]) -> list[np.ndarray]:
         return [np.frombuffer(c, np.uint8).astype(np.uint32) for c in contents]
 
+    def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return data.astype(np.int32), offsets
+
     def decode(self, tokens: np.ndarray) -> bytes:
         return np.asarray(tokens, np.uint8).tobytes()
 
@@ -100,10 +105,25 @@ class WhitespaceTokenizer(Tokenizer):
         return {"id": self.tokenizer_id, "kind": "whitespace-hashed", "vocab_size": self.vocab_size}
 
     def encode_batch(self, contents: list[bytes]) -> list[np.ndarray]:
-        pieces = [re.findall(_PIECES, c) for c in contents]
-        distinct = list({p for each in pieces for p in each})
-        ids = {p: int.from_bytes(h[:8], "little") % (self.vocab_size - 1) + 1 for p, h in zip(distinct, hash_many(distinct), strict=True)}
-        return [np.array([ids[p] for p in each], np.uint32) for each in pieces]
+        offsets = np.concatenate([[0], np.cumsum([len(c) for c in contents])]).astype(np.int64)
+        ids, cuts = self.encode_flat(np.frombuffer(b"".join(contents), np.uint8), offsets)
+        return [ids[a:b].astype(np.uint32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces begin where white space begins or ends, or a content does; each distinct piece is hashed once."""
+        n = len(data)
+        first = np.zeros(n + 1, bool)
+        first[offsets] = True
+        blank = _BLANK[data]
+        first[1:n] |= blank[1:] != blank[:-1]
+        starts = np.flatnonzero(first[:n])
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        bounds = np.append(starts, n)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        heads = np.ascontiguousarray(hash_flat(*flat(pieces.dictionary))[:, :8]).view("<u8").ravel()
+        ids = (heads % np.uint64(self.vocab_size - 1) + np.uint64(1)).astype(np.int32)
+        return ids[pieces.indices.to_numpy()], np.searchsorted(starts, offsets)
 
     def count(self, content: Column) -> Column:
         return F.size(whitespace_pieces(content.cast("string"))).cast("long")
