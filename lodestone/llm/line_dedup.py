@@ -15,15 +15,11 @@ from lodestone.llm._common import col, stored, text_key
 
 def normalised(line: Column) -> Column:
     """Lower case, without blanks at the ends, runs of blanks as one."""
-    spaced = F.translate(line, "\t\r", "  ")
+    # most lines have neither: a search of bytes is cheaper than a translation
+    spaced = F.when(F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")), F.translate(line, "\t\r", "  ")).otherwise(line)
     return F.lower(F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)))
 
 
-def _hash(line: Column) -> Column:
-    clean = normalised(line)
-    return F.when(clean != "", F.xxhash64(clean))
-
-
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 10) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for every row; text is without the lines that more than ``most`` documents have.
 
@@ -33,11 +29,11 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     k1, k2 = text_key(F.col("text"))
     lines = F.split("text", "\n", -1)
-    hashed = stored(rows.where("text IS NOT NULL").select(F.coalesce("doc_id", k1).alias("doc"), k1.alias("k1"), k2.alias("k2"), F.transform(lines, _hash).alias("hashes")), "line-hashes")
-    each = hashed.select("doc", F.explode(F.array_distinct("hashes")).alias("h")).where("h IS NOT NULL")
-    common = each.groupBy("h").agg(F.countDistinct("doc").alias("n")).where(F.col("n") > most).select("h")
-    placed = hashed.select("k1", "k2", F.posexplode("hashes").alias("pos", "h")).where("h IS NOT NULL")
-    gone = placed.join(common, "h").groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
+    # a line is a row before it is hashed: that stays in generated code, a function over arrays wouldn't
+    each = rows.where("text IS NOT NULL").select(F.coalesce("doc_id", k1).alias("doc"), k1.alias("k1"), k2.alias("k2"), F.posexplode(lines).alias("pos", "line"))
+    hashed = stored(each.select("doc", "k1", "k2", "pos", F.xxhash64(normalised(F.col("line"))).alias("h")).where(F.col("h") != F.xxhash64(F.lit(""))), "line-hashes")
+    common = hashed.groupBy("h").agg(F.countDistinct("doc").alias("n")).where(F.col("n") > most).select("h")
+    gone = hashed.join(common, "h").groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
     keyed = rows.withColumn("k1", k1).withColumn("k2", k2)
     met = keyed.join(gone, ["k1", "k2"], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
