@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROOT = Path(__file__).resolve().parents[2]
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to Python workers that don't see the driver's ``sys.path``; once for a session."""
+    sc = spark.sparkContext
+    seen = {str(Path(p or ".").resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)} | {str(Path.cwd())}
+    if str(_ROOT) in seen or getattr(sc, "_lodestone_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in (_ROOT / "lodestone").rglob("*.py"):
+            z.write(p, p.relative_to(_ROOT))
+    sc.addPyFile(target)
+    sc._lodestone_shipped = True
+
+
 def col(name: str) -> Column:
     """A column by its exact name."""
     return F.col("`" + name.replace("`", "``") + "`")

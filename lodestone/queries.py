@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as texts
 from lodestone.functions.blake3 import content_hash
 from lodestone.functions.canonical import hex_of, lossy_text
-from lodestone.functions.columns import shared_dir
+from lodestone.functions.columns import shared_dir, ship
 from lodestone.functions.tokenizers import ByteTokenizer, VocabularyTokenizer, WhitespaceTokenizer, byte_histogram, test_vector, token_bits
 from lodestone.operators import audit, loader, merkle, metadata, mixture, overlay, report, smt, views
 from lodestone.operators.dedup import first_of_each, group_sizes, survivors
@@ -31,7 +32,12 @@ VOCABULARY = os.environ.get("LODESTONE_TOKENIZER_JSON", "/opt/tokenizers/byte_bp
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             SQL[f.__name__] = sql
         return f
