@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lodestone.llm import ann
+from lodestone.llm import ann, queries
 
 
 def brute(ids, x, k):
@@ -70,3 +70,16 @@ def test_ties_repeats_and_odd_rows(spark):
 def test_more_neighbours_than_vectors(spark):
     ids, x = vectors(6)
     assert found(ann.nearest(table(spark, ids, x), k=10, shard_rows=2)) == brute(ids, x, 10)
+
+
+@pytest.mark.parametrize("latent", [6, 10, 16])
+def test_recall_of_the_query_on_vectors_of_low_intrinsic_dimension(spark, latent):
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(8192, latent)) @ rng.normal(size=(latent, 64))
+    ids = np.arange(len(x))
+    some = rng.choice(ids, 200, replace=False)
+    d = ann.distances(x[some], x)
+    d[np.arange(len(some)), some] = np.inf
+    truth = np.argsort(d, axis=1)[:, :10]
+    got = found(ann.nearest(table(spark, ids, x), factor=queries.ANN_FACTOR, shard_rows=1024))
+    assert np.mean([len(set(got[i]) & set(t)) / 10 for i, t in zip(some.tolist(), truth.tolist(), strict=True)]) >= 0.9
