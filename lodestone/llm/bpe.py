@@ -189,6 +189,14 @@ class _Partition:
             yield part, flat, stops[cuts]
         self.words, self.parts, self.size = {}, [], 0
 
+    def count(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """The number of tokens of each row, without the tokens."""
+        _, offsets = merge(*_flat.flat(pa.array(self.words, pa.large_string())), self.v)
+        size = np.diff(offsets)
+        for part, codes, cuts in self.parts:
+            yield part, np.diff(np.concatenate([[0], np.cumsum(size[codes])])[cuts])
+        self.words, self.parts, self.size = {}, [], 0
+
 
 def _encode(v: Vocabulary, partition: int):
     def rows(gathered: _Partition) -> Iterator[pa.RecordBatch]:

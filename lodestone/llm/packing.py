@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import _flat
+from lodestone.llm import _flat, bpe
 from lodestone.llm._common import col, ship, stored
 
 
@@ -99,6 +99,24 @@ def _count(id_name: str, text_name: str):
     return run
 
 
+def _count_bpe(v: bpe.Vocabulary):
+    def rows(gathered: bpe._Partition) -> Iterator[pa.RecordBatch]:
+        for part, n in gathered.count():
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(n)], ["doc_id", "mark", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = bpe._Partition(v)
+        for whole in batches:
+            for part in _flat.slices(whole, "text", _flat.BLOCK):
+                gathered.add(part)
+                if gathered.size >= bpe.PARTITION:
+                    yield from rows(gathered)
+        if gathered.parts:
+            yield from rows(gathered)
+
+    return run
+
+
 def _pack(p: Packing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _shards(batches):
@@ -127,17 +145,18 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Packing = Packing()) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Packing = Packing(), vocabulary: bpe.Vocabulary | None = None) -> DataFrame:
     """(doc_id, piece, start_token, n_tokens, shard, bin, bin_tokens, bin_id), one row for each piece of each row.
 
-    A row of no tokens (null, empty or blank text) has no piece. A null id is packed like any other; repeated rows are
+    Tokens are those of ``vocabulary``, as ``bpe.encode`` gives them; without one, words and marks (``token_counts``).
+    A row of no tokens (null or empty text; of words, also blank text) has no piece. A null id is packed like any other; repeated rows are
     packed each. Other columns are ignored. Equal sizes are placed in the order of a hash of id and text, so the
     result doesn't depend on how the table is stored."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"))
-    counted = stored(rows.mapInArrow(_count("doc_id", "text"), "doc_id long, mark long, n long").where("n > 0"), "token-counts")
+    counted = stored(rows.mapInArrow(_count_bpe(vocabulary) if vocabulary else _count("doc_id", "text"), "doc_id long, mark long, n long").where("n > 0"), "token-counts")
     pieces = counted.select("doc_id", "mark", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / params.longest).cast("int") - 1)).alias("piece"))
     pieces = pieces.select("doc_id", "mark", "piece", (F.col("piece").cast("long") * params.longest).alias("start_token"), F.least(F.lit(params.longest).cast("long"), F.col("n") - F.col("piece").cast("long") * params.longest).alias("n_tokens"))
     total = counted.agg(F.sum(F.ceil(F.col("n") / params.longest))).first()[0] or 0

@@ -1,3 +1,4 @@
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -5,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestone.llm import packing
+from lodestone.llm import bpe, packing, queries
 from lodestone.llm.packing import Packing
 
 
@@ -81,3 +82,18 @@ def test_odd_and_empty(odd, empty):
     n = Counter(r.doc_id for r in rows)
     assert n[1] == n[2] == n[3] == 0 and n[6] == 2 and n[None] == 1 and n[4] > 5
     assert packing.pack(empty).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no vocabulary file here")
+def test_the_query_packs_tokens_of_the_vocabulary(docs_of, spark, tmp_path):
+    rng = np.random.default_rng(21)
+    run = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 20_000))
+    frame = docs_of([(1, "Packing counts subword tokens, not words: antidisestablishmentarianism!"), (2, run), (3, "ภาษาไทย" * 300), (4, None), (5, ""), (6, " \n ")])
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got, full = Counter(), Counter()
+    for r in queries.op3_best_fit_packing(spark, str(tmp_path)).collect():
+        got[r.doc_id] += r.n_tokens
+        full[r.bin_id] += r.n_tokens
+    want = {r.doc_id: r.n_tokens for r in bpe.encode(frame, bpe.load(queries.VOCABULARY)).collect() if r.n_tokens}
+    assert got == want and want[2] > 4096
+    assert max(full.values()) <= 4096
