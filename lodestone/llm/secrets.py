@@ -31,12 +31,13 @@ _CODE = 'const apiKey = process.env.API_KEY; password = os.environ["PASSWORD"];
 
 @dataclass(frozen=True)
 class SecretScan:
-    """least: shortest candidate. around: characters of surrounding text on each side. novelty: least marginal bytes for
+    """least: shortest candidate; ``assigned``: shortest value that is assigned to a sensitive name. around: characters of surrounding text on each side. novelty: least marginal bytes for
     each byte of information that a random string of the candidate's alphabet has (sensitive context; ``alone`` without).
     level: of the compression; from 6 on zstandard finds short repeats in short strings.
     identifiers: text of the dictionary of identifiers and code, to be replaced by one's own."""
 
     least: int = 16
+    assigned: int = 8
     around: int = 160
     novelty: float = 0.9
     alone: float = 1.1
@@ -44,12 +45,19 @@ class SecretScan:
     identifiers: str = _STEMS + " " + _CODE
 
 
-#: Characters of keys; a run of them is a candidate if it has both letters and digits (or mixed case) and is long enough.
+#: What redaction leaves; it is no candidate.
+MASK = "[SECRET]"
+#: Characters of keys; a long run of them is a candidate, outside of a sensitive context only if it has both letters and digits.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-~.]{16,}={0,2}")
-_CONTEXT = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth(?:orization)?|bearer|credential|private[_\- ]?key|client[_\- ]?id|signature)[\w\-]{0,20}[\"'\]]{0,2}\s{0,3}(?:[:=]|=>|is)?\s{0,3}[\"'`]?$")
+_NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth(?:orization)?|bearer|credential|private[_\- ]?key|client[_\- ]?id|signature)"
+_CONTEXT = re.compile(rf"(?i){_NAMES}[\w\-]{{0,20}}[\"'\]]{{0,2}}\s{{0,3}}(?:[:=]|=>|is)?\s{{0,3}}[\"'`]?$")
+#: An assignment to a sensitive name, and its value: between quotes, or all up to a blank.
+_ASSIGNMENT = re.compile(r"(?:=>|:=|={1,3}|:)\s{0,3}")
+_NAME = re.compile(rf"(?i){_NAMES}[\w\-]{{0,20}}[\"'`\]]{{0,2}}\s{{0,3}}$")
+_VALUE = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])+)\1|([^\s"'`]+)""")
 _FORMS = [(name, re.compile(form)) for name, form in (("cloud_access_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}"), ("source_host_token", r"gh[pousr]_[A-Za-z0-9]{36,}"), ("chat_token", r"xox[abprs]-[A-Za-z0-9\-]{10,}"), ("web_token", r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"), ("payment_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"), ("map_key", r"AIza[A-Za-z0-9_\-]{35}"))]
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)$")
-_PREFILTER = r"[A-Za-z0-9+/_\-~.]{16}"
+_PREFILTER = rf"[A-Za-z0-9+/_\-~.]{{16}}|(?i:{_NAMES})[\w\-]{{0,20}}[\"'`\]]{{0,2}}\s{{0,3}}[:=]"
 
 
 @cache
@@ -81,9 +89,37 @@ def _keylike(s: str) -> bool:
     return digits >= 2 and len(s) - digits >= 2
 
 
+def _mixed(s: str) -> bool:
+    """Not a word: something but a first letter is a capital among small letters, or a digit."""
+    return any(c.isdigit() for c in s) or any(c.isupper() for c in s[1:]) and any(c.islower() for c in s)
+
+
+def _assigned(text: str, p: SecretScan) -> Iterator[tuple[int, int, str, float]]:
+    """Values that are assigned to sensitive names: whole, of any characters, by novelty alone."""
+    for m in _ASSIGNMENT.finditer(text):
+        v = _NAME.search(text, max(0, m.start() - 64), m.start()) and _VALUE.match(text, m.end())
+        if not v:
+            continue
+        at, s = (v.start(2), v.group(2)) if v.group(1) else (v.start(3), v.group(3).rstrip(".,;:"))
+        if len(s) < p.assigned or MASK in s:
+            continue
+        before, after = text[max(0, at - p.around) : at], text[at + len(s) : at + len(s) + p.around]
+        value = novelty(before.replace(s, ""), s, after.replace(s, ""), p)
+        form = next((k for k, r in _FORMS if r.search(s)), None)
+        if value >= p.novelty:
+            yield at, at + len(s), form or "assigned", value
+
+
 def scan(text: str, p: SecretScan) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, novelty) of each secret in a text, ascending and without overlap; positions in characters."""
-    out = []
+    out: list[tuple[int, int, str, float]] = []
+    for found in (_assigned(text, p), _runs(text, p)):
+        out += [x for x in found if not any(x[0] < b and a < x[1] for a, b, _, _ in out)]
+    return sorted(out)
+
+
+def _runs(text: str, p: SecretScan) -> Iterator[tuple[int, int, str, float]]:
+    """Long runs of the characters of keys."""
     for m in _CANDIDATE.finditer(text):
         s, at = m.group(), m.start()
         form = next(((k, f) for k, r in _FORMS if (f := r.search(s))), None)
@@ -91,9 +127,11 @@ def scan(text: str, p: SecretScan) -> list[tuple[int, int, str, float]]:
             at, s = at + form[1].start(), form[1].group()
         else:
             s = s.rstrip(".-~")  # the sentence's own
-        if len(s) < p.least or not form and not _keylike(s):
+        if len(s) < p.least:
             continue
         context = bool(_CONTEXT.search(text[max(0, at - 64) : at]))
+        if not form and not (_mixed(s) if context else _keylike(s)):
+            continue
         if not context and not form and "/" in s + text[at - 1 : at]:
             continue  # paths and addresses
         if not context and not form and text[at + len(s) : at + len(s) + 1] == "@":
@@ -103,8 +141,7 @@ def scan(text: str, p: SecretScan) -> list[tuple[int, int, str, float]]:
             before, after = before.replace(s, ""), after.replace(s, "")
         value = novelty(before, s, after, p)
         if value >= (p.novelty if context or form else p.alone):
-            out.append((at, at + len(s), form[0] if form else "assigned" if context else "random", value))
-    return out
+            yield at, at + len(s), form[0] if form else "assigned" if context else "random", value
 
 
 def _candidates(texts: pa.Array) -> pa.Array:
@@ -158,7 +195,7 @@ def _redact(p: SecretScan, text_name: str, length_name: str | None, mask: str):
     return run
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", params: SecretScan = SecretScan(), mask: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", params: SecretScan = SecretScan(), mask: str = MASK) -> DataFrame:
     """``docs`` with each secret replaced by ``mask``, and ``length_col``, where it exists as a whole number, brought up to
     date. All rows and columns stay."""
     ship(docs.sparkSession)

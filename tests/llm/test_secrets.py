@@ -48,3 +48,8 @@ def test_odd_and_empty(odd, empty):
     got = secrets.redact_secrets(odd)
     assert got.columns == odd.columns and got.exceptAll(odd).count() == 0 and got.count() == odd.count()
     assert secrets.find_secrets(empty).count() == 0 and secrets.redact_secrets(empty).count() == 0
+
+
+@pytest.mark.parametrize("text, secret", [('token = "QwXyTrLpAbNmZsKjVbHg"', "QwXyTrLpAbNmZsKjVbHg"), ('password = "hunter2!Xy9#Qd"', "hunter2!Xy9#Qd"), (f"{PROSE}password: k#9!vQz&Lw, {PROSE}", "k#9!vQz&Lw"), ("bearer QwXyTrLpAbNmZsKjVbHg", "QwXyTrLpAbNmZsKjVbHg")])
+def test_assigned_values_need_no_digits_and_may_hold_symbols(text, secret):
+    assert [text[a:b] for a, b, _, _ in secrets.scan(text, SecretScan())] == [secret]
