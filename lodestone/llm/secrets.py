@@ -56,6 +56,8 @@ _ASSIGNMENT = re.compile(r"(?:=>|:=|={1,3}|:)\s{0,3}")
 _NAME = re.compile(rf"(?i){_NAMES}[\w\-]{{0,20}}[\"'`\]]{{0,2}}\s{{0,3}}$")
 _VALUE = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])+)\1|([^\s"'`]+)""")
 _FORMS = [(name, re.compile(form)) for name, form in (("cloud_access_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}"), ("source_host_token", r"gh[pousr]_[A-Za-z0-9]{36,}"), ("chat_token", r"xox[abprs]-[A-Za-z0-9\-]{10,}"), ("web_token", r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"), ("payment_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"), ("map_key", r"AIza[A-Za-z0-9_\-]{35}"))]
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*(?:[A-Za-z\-]+: [^\n]*\n|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2}))*)")
+_PEM_BODY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}={0,2}")
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)$")
 _PREFILTER = rf"[A-Za-z0-9+/_\-~.]{{16}}|(?i:{_NAMES})[\w\-]{{0,20}}[\"'`\]]{{0,2}}\s{{0,3}}[:=]"
 
@@ -110,10 +112,18 @@ def _assigned(text: str, p: SecretScan) -> Iterator[tuple[int, int, str, float]]
             yield at, at + len(s), form or "assigned", value
 
 
+def _blocks(text: str, p: SecretScan) -> Iterator[tuple[int, int, str, float]]:
+    """Private keys in PEM, from BEGIN to END (where that is missing, as far as lines of the key go)."""
+    for m in _PEM.finditer(text):
+        body = "".join(_PEM_BODY.findall(m.group()))
+        if len(body) >= p.least:
+            yield m.start(), m.end(), "private_key", novelty(text[max(0, m.start() - p.around) : m.start()], body, text[m.end() : m.end() + p.around], p)
+
+
 def scan(text: str, p: SecretScan) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, novelty) of each secret in a text, ascending and without overlap; positions in characters."""
     out: list[tuple[int, int, str, float]] = []
-    for found in (_assigned(text, p), _runs(text, p)):
+    for found in (_blocks(text, p), _assigned(text, p), _runs(text, p)):
         out += [x for x in found if not any(x[0] < b and a < x[1] for a, b, _, _ in out)]
     return sorted(out)
 
