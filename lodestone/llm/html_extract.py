@@ -26,7 +26,9 @@ from lodestone.llm import _flat, _gbt
 from lodestone.llm._common import col, ship
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "noscript", "template", "svg")}
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea")}
+#: Skipped with all that they hold, if they end.
+_SKIP = {t: re.compile(rf"<(/?){t}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I) for t in ("noscript", "template", "svg")}
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: What a start tag ends, if it is open nearer than any of the tags of the second set.
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -57,12 +59,25 @@ class Page:
         self.block: list[int] = []  # number of the block that a piece of text is in
 
 
+def _matched(source: str, tag: str) -> dict[int, int]:
+    """Where the end tag of each start tag ends, by where the start tag does; start tags without one are left out."""
+    out, starts = {}, []
+    for m in _SKIP[tag].finditer(source):
+        if m[1]:
+            if starts:
+                out[starts.pop()] = m.end()
+        elif tag != "svg" or not m[0].endswith("/>"):
+            starts.append(m.end())
+    return out
+
+
 def parse(source: str) -> Page:
     """Lenient: what is never closed ends with its parent, end tags without a start are ignored."""
     page = Page()
     parent, kinds, depth, end, good, bad, mark = page.parent, page.kind, page.depth, page.end, page.good, page.bad, page.mark
     stack, tags, block, at = [0], ["#root"], 0, 0
     size = len(source)
+    skips: dict[str, dict[int, int]] = {}
     match = _TOKEN.match
     while at < size:
         m = match(source, at)
@@ -131,6 +146,11 @@ def parse(source: str) -> Page:
         if tag in _RAW:
             m = _RAW[tag].search(source, at)
             at = m.end() if m else size
+        elif tag in _SKIP:
+            if not (tag == "svg" and rest.endswith("/")):
+                if tag not in skips:
+                    skips[tag] = _matched(source, tag)
+                at = skips[tag].get(at, at)
         elif tag not in _VOID and not rest.endswith("/"):
             stack.append(node)
             tags.append(tag)

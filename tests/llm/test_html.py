@@ -78,3 +78,8 @@ def test_tables(spark):
     assert X.extract_text(none, X.fit_extractor(none)).count() == 0
     unmarked = spark.createDataFrame([(1, "<div>all of it</div>")], "page_id long, html string")
     assert X.extract_text(unmarked, X.fit_extractor(unmarked)).first().text == "all of it"
+
+
+@pytest.mark.parametrize("source, texts", [('<p>a</p><svg class="icon"/><p>b</p>', "ab"), ('<svg class="icon"/><p>a</p><svg><text>x</text></svg><p>b</p>', "ab"), ("<p>a</p><noscript><p>b</p>", "ab"), ("<template><p>a</p>", "a"), ("<svg><p>a</p><svg>x</svg><p>b</p>", "ab"), ("<svg><svg>x</svg>y</svg><p>a</p>", "a"), ("<noscript>x</noscript><template>y</template><p>a</p>", "a")])
+def test_what_is_skipped_has_an_end(source, texts):
+    assert "".join(X.parse(source).text) == texts
