@@ -83,3 +83,58 @@ def test_recall_of_the_query_on_vectors_of_low_intrinsic_dimension(spark, latent
     truth = np.argsort(d, axis=1)[:, :10]
     got = found(ann.nearest(table(spark, ids, x), factor=queries.ANN_FACTOR, shard_rows=1024))
     assert np.mean([len(set(got[i]) & set(t)) / 10 for i, t in zip(some.tolist(), truth.tolist(), strict=True)]) >= 0.9
+
+
+def test_queries_against_all(spark):
+    ids, x = vectors(700, 23)
+    frame = table(spark, ids, x)
+    got = found(ann.nearest(frame, frame.where("vec_id % 100 = 0"), k=5, shard_rows=64))
+    truth = brute(ids, x, 5)
+    assert got == {i: truth[i] for i in truth if i % 100 == 0}
+
+
+@pytest.mark.parametrize("x", [np.eye(1400), np.repeat([[1.0, 2.0]], 3000, 0), np.arange(1500.0)[:, None] // 100], ids=["equidistant", "equal", "steps"])
+def test_ties_make_no_deep_or_wrong_tree(x):
+    ids = np.arange(len(x)) * 2
+    tree = ann.Tree(x, 64)
+    some = np.arange(0, len(x), 100)
+    best, names = tree.search(x[some], ids[some], ids, 10, 1.0)
+    d = ann.distances(x[some], x)
+    d[np.arange(len(some)), some] = np.inf
+    for row, got, near in zip(d, names.tolist(), best, strict=True):
+        order = np.lexsort((ids, np.round(row, 6)))[:10]
+        assert got == ids[order].tolist() and np.allclose(near, row[order])
+    assert sorted(np.concatenate([leaf.rows for leaf in tree.leaves]).tolist()) == list(range(len(x)))
+
+
+def test_a_point_of_many_copies(spark):
+    ids, x = vectors(900, 24)
+    x[300:700] = x[5]  # near half of the rows are one vector
+    x[700:720] = x[6]
+    frame = table(spark, ids, x)
+    got = found(ann.nearest(frame, k=6, shard_rows=100))
+    truth = brute(ids, x.round(12), 6)
+    assert set(got) == set(truth) and got[900] == truth[900] and all(got[i] == truth[i] for i in truth if 900 <= i < 2160)
+    assert sum(got[i] == truth[i] for i in truth) >= 0.99 * len(truth)
+
+
+def test_single_precision_and_clashing_columns(spark):
+    ids, x = vectors(120, 25)
+    frame = spark.createDataFrame([(int(i), [float(np.float32(v)) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    for clash in ("id", "vec", "leaf", "shard", "k1", "k2", "tau", "asks", "last", "best", "distance", "neighbour_id", "rank", "chunks", "first"):
+        frame = frame.withColumn(clash, frame.vec_id)
+    assert found(ann.nearest(frame, k=4, shard_rows=30)) == brute(ids, x.astype(np.float32).astype(float), 4)
+
+
+def test_the_query_is_that_of_brute_force(spark):
+    """Beside the SQL: recall of the registered query, over rows of the same shape."""
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    truth = brute(ids, x, 10)
+    got = found(queries.op4_nearest_neighbours(spark, folder))
+    assert got == {i: truth[i] for i in truth if i % 100 == 0}
