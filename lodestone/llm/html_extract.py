@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from lodestone.llm._common import col, ship
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea")}
 #: Skipped with all that they hold, if they end.
-_SKIP = {t: re.compile(rf"<(/?){t}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I) for t in ("noscript", "template", "svg")}
+_SKIP = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in ("noscript", "template", "svg")}
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: What a start tag ends, if it is open nearer than any of the tags of the second set.
 _ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -40,7 +41,9 @@ _OTHER = _KINDS.index("other")
 _CONTENT, _AROUND = frozenset(("article", "main")), frozenset(("nav", "footer", "aside"))
 _GOOD = re.compile(r"article|body|content|entry|main|post|story|text|blog|page", re.I)
 _BAD = re.compile(r"\bads?\b|advert|banner|breadcrumb|button|comment|cookie|copyright|disclaimer|footer|header|legal|login|masthead|menu|meta|modal|nav|newsletter|paging|popup|promo|related|share|sidebar|social|sponsor|subscribe|tag|toolbar|tracking|widget", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([/!?]?)([a-zA-Z][^\s/>]*)?((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile("[>\"']")
+_BOGUS = ("/", "!", "?")
 _ATTRIBUTES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 FEATURES = ["kind", "parent_kind", "depth", "order", "own", "own_words_a_mark", "subtree_text", "subtree_nodes", "density", "link_share", "good_tokens", "bad_tokens", "good_above", "bad_above", "siblings", "place_among_siblings", "like_siblings", "sibling_text", "share_of_parent", "share_of_page", "before_text", "after_text", "list_share", "paragraphs", "parent_text", "parent_density", "parent_link_share", "grand_kind", "grand_text"]
@@ -59,77 +62,139 @@ class Page:
         self.block: list[int] = []  # number of the block that a piece of text is in
 
 
-def _matched(source: str, tag: str) -> dict[int, int]:
+def _tag_ends(source: str) -> tuple[list[int], list[int]]:
+    """Positions of quotes and '>', ascending, and for each the first '>' outside of quotes from there on (-1: none, or a
+    quote isn't closed). One pass from the back, however many tags are never closed."""
+    at = [m.start() for m in _SPECIAL.finditer(source)]
+    ends = [-1] * (len(at) + 1)
+    last = {'"': -1, "'": -1}
+    for k in range(len(at) - 1, -1, -1):
+        c = source[at[k]]
+        if c == ">":
+            ends[k] = at[k]
+        else:
+            ends[k] = ends[last[c] + 1] if last[c] >= 0 else -1
+            last[c] = k
+    return at, ends
+
+
+def _matched(source: str, tag: str, special: tuple[list[int], list[int]]) -> dict[int, int]:
     """Where the end tag of each start tag ends, by where the start tag does; start tags without one are left out."""
     out, starts = {}, []
     for m in _SKIP[tag].finditer(source):
+        end = special[1][bisect_left(special[0], m.end())]
+        if end < 0:
+            continue
         if m[1]:
             if starts:
-                out[starts.pop()] = m.end()
-        elif tag != "svg" or not m[0].endswith("/>"):
-            starts.append(m.end())
+                out[starts.pop()] = end + 1
+        elif tag != "svg" or source[end - 1] != "/":
+            starts.append(end + 1)
     return out
 
 
+class _Open:
+    """Open elements, and where in the stack those of each tag are: no question takes longer where the stack is deep."""
+
+    __slots__ = ("nodes", "tags", "where", "scopes")
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["#root"]
+        self.where: dict[str, list[int]] = {}
+        self.scopes: list[int] = []  # places of tags that end the search for an open paragraph
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag, or 0."""
+        places = self.where.get(tag)
+        return places[-1] if places else 0
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else 0
+
+    def push(self, node: int, tag: str) -> None:
+        place = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.where.setdefault(tag, []).append(place)
+        if tag in _P_SCOPE:
+            self.scopes.append(place)
+
+    def cut(self, place: int, end: list[int], n: int) -> None:
+        """Close all from ``place`` on."""
+        while len(self.nodes) > place:
+            end[self.nodes.pop()] = n
+            tag = self.tags.pop()
+            self.where[tag].pop()
+            if tag in _P_SCOPE:
+                self.scopes.pop()
+
+
 def parse(source: str) -> Page:
-    """Lenient: what is never closed ends with its parent, end tags without a start are ignored."""
+    """Lenient: what is never closed ends with its parent, end tags without a start are ignored, a '<' that opens nothing
+    is text. The time is linear in the source, also where tags are never closed or nest without end."""
     page = Page()
     parent, kinds, depth, end, good, bad, mark = page.parent, page.kind, page.depth, page.end, page.good, page.bad, page.mark
-    stack, tags, block, at = [0], ["#root"], 0, 0
-    size = len(source)
+    block, at, size = 0, 0, len(source)
+    stack = _Open()
+    special = _tag_ends(source)
+    last_close = source.rfind(">")
     skips: dict[str, dict[int, int]] = {}
-    match = _TOKEN.match
     while at < size:
-        m = match(source, at)
-        if m is None:  # a '<' without its '>'
-            nxt = source.find("<", at + 1)
-            text, at = source[at : nxt if nxt >= 0 else size], nxt if nxt >= 0 else size
-            slash = tag = None
+        if source[at] != "<":
+            to = source.find("<", at)
+            to = size if to < 0 else to
+            text, at = source[at:to], to
         else:
-            at = m.end()
-            slash, tag, rest, text = m.groups()
+            text = None
+            if source.startswith("<!--", at):
+                to = source.find("-->", at + 4)
+                at = size if to < 0 else to + 3
+                continue
+            if source.startswith("<![CDATA[", at):
+                to = source.find("]]>", at + 9)
+                at = size if to < 0 else to + 3
+                continue
+            m = _TAG.match(source, at, at + 3)
+            if m:
+                to = special[1][bisect_left(special[0], at)]
+                m = _TAG.match(source, at, max(to, at + 3))
+            elif source[at + 1 : at + 2] in _BOGUS:
+                to = source.find(">", at) if at < last_close else -1
+            else:
+                to = -1
+            if to < 0:
+                text, at = "<", at + 1
         if text is not None:
             if not text.isspace():
-                page.text_node.append(stack[-1])
+                page.text_node.append(stack.nodes[-1])
                 page.text.append(html.unescape(text) if "&" in text else text)
                 page.block.append(block)
             continue
-        if not tag or slash and slash != "/":
+        at = to + 1
+        if not m:
             continue
-        tag = tag.lower()
-        if slash:
+        tag = m[2].lower()
+        if m[1]:
             if tag in _BLOCK or tag == "br":
                 block += 1
-            if tag in tags:
-                k = len(tags) - 1 - tags[::-1].index(tag)
-                if k and (tag in _BLOCK or not any(t in _P_SCOPE for t in tags[k + 1 :])):
-                    n = len(parent)
-                    for node in stack[k:]:
-                        end[node] = n
-                    del stack[k:], tags[k:]
+            k = stack.last(tag)
+            if k and (tag in _BLOCK or stack.scope() <= k):
+                stack.cut(k, end, len(parent))
             continue
+        rest = source[m.start(2) + len(tag) : to]
         if tag in _BLOCK or tag == "br":
             block += 1
         k = 0
-        if tag in _P_ENDS and "p" in tags:
-            k = len(tags) - 1 - tags[::-1].index("p")
-            if any(t in _P_SCOPE for t in tags[k + 1 :]):
-                k = 0
+        if tag in _P_ENDS and stack.last("p"):
+            k = stack.last("p") if stack.scope() <= stack.last("p") else 0
         elif tag in _ENDS:
             ends, scope = _ENDS[tag]
-            for j in range(len(tags) - 1, 0, -1):
-                if tags[j] in ends:
-                    k = j
-                    break
-                if tags[j] in scope:
-                    break
+            k = max(stack.last(t) for t in ends)
+            k = k if k > max(stack.last(t) for t in scope) else 0
         if k:
-            n = len(parent)
-            for node in stack[k:]:
-                end[node] = n
-            del stack[k:], tags[k:]
+            stack.cut(k, end, len(parent))
         node = len(parent)
-        top = stack[-1]
+        top = stack.nodes[-1]
         parent.append(top)
         kinds.append(_KIND.get(tag, _OTHER))
         depth.append(depth[top] + 1)
@@ -149,16 +214,12 @@ def parse(source: str) -> Page:
         elif tag in _SKIP:
             if not (tag == "svg" and rest.endswith("/")):
                 if tag not in skips:
-                    skips[tag] = _matched(source, tag)
+                    skips[tag] = _matched(source, tag, special)
                 at = skips[tag].get(at, at)
-        elif tag not in _VOID and not rest.endswith("/"):
-            stack.append(node)
-            tags.append(tag)
-        elif rest.endswith("/") and tag not in _VOID:
-            stack.append(node)
-            tags.append(tag)
+        elif tag not in _VOID:
+            stack.push(node, tag)
     n = len(parent)
-    for node in stack:
+    for node in stack.nodes:
         end[node] = n
     return page
 
@@ -231,8 +292,7 @@ class Batch:
     def _above(self, v: np.ndarray, up: np.ndarray) -> np.ndarray:
         """Sum over the ancestors."""
         out = np.zeros(len(v))
-        for level in range(1, int(self.depth.max(initial=0)) + 1):
-            at = np.flatnonzero(self.depth == level)
+        for at in _levels(self.depth)[1:]:
             out[at] = out[up[at]] + v[up[at]]
         return out
 
@@ -242,11 +302,16 @@ class Batch:
         return keep_closed(self.parent, self.depth, odds * weight)
 
 
+def _levels(depth: np.ndarray) -> list[np.ndarray]:
+    """Positions by depth, each in order."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
 def keep_closed(parent: np.ndarray, depth: np.ndarray, gain: np.ndarray) -> np.ndarray:
     """best(v) = max(0, gain(v) + sum of best(children)); v stays if its parent does and best(v) > 0."""
     total = gain.astype(float).copy()
-    deepest = int(depth.max(initial=0))
-    levels = [np.flatnonzero(depth == k) for k in range(deepest + 1)]
+    levels = _levels(depth)
     for at in levels[:0:-1]:
         np.add.at(total, parent[at], np.maximum(total[at], 0))
     keep = np.zeros(len(parent), bool)
@@ -331,7 +396,9 @@ def extract_text(pages: DataFrame, forest: _gbt.Forest, id_col: str = "page_id",
     """(page_id, text, n_nodes, n_kept) for every row: n_kept counts the elements whose own text was kept.
 
     A null page has a null text, an empty one an empty text (their only element is the root); a null id is passed on,
-    repeated rows are extracted each. Other columns are ignored."""
+    repeated rows are extracted each. A page of any length is parsed whole, in time linear in its length, also where its
+    markup is broken. An empty table gives no rows. Other columns are ignored, whatever their names. Ids are cast to
+    long, what can't be is an error."""
     ship(pages.sparkSession)
     rows = pages.select(col(id_col).cast("long").alias("page_id"), col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_run(forest), "page_id long, text string, n_nodes long, n_kept long")
