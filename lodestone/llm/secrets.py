@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -48,7 +49,7 @@ class SecretScan:
 #: What redaction leaves; it is no candidate.
 MASK = "[SECRET]"
 #: Characters of keys; a long run of them is a candidate, outside of a sensitive context only if it has both letters and digits.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-~.]{16,}={0,2}")
+_KEY = r"[A-Za-z0-9+/_\-~.]"
 _NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth(?:orization)?|bearer|credential|private[_\- ]?key|client[_\- ]?id|signature)"
 _CONTEXT = re.compile(rf"(?i){_NAMES}[\w\-]{{0,20}}[\"'\]]{{0,2}}\s{{0,3}}(?:[:=]|=>|is)?\s{{0,3}}[\"'`]?$")
 #: An assignment to a sensitive name, and its value: between quotes, or all up to a blank.
@@ -56,10 +57,22 @@ _ASSIGNMENT = re.compile(r"(?:=>|:=|={1,3}|:)\s{0,3}")
 _NAME = re.compile(rf"(?i){_NAMES}[\w\-]{{0,20}}[\"'`\]]{{0,2}}\s{{0,3}}$")
 _VALUE = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])+)\1|([^\s"'`]+)""")
 _FORMS = [(name, re.compile(form)) for name, form in (("cloud_access_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}"), ("source_host_token", r"gh[pousr]_[A-Za-z0-9]{36,}"), ("chat_token", r"xox[abprs]-[A-Za-z0-9\-]{10,}"), ("web_token", r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"), ("payment_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"), ("map_key", r"AIza[A-Za-z0-9_\-]{35}"))]
+#: Characters of the shortest string of each form.
+_SHORTEST = (20, 40, 15, 35, 24, 39)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*(?:[A-Za-z\-]+: [^\n]*\n|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2}))*)")
 _PEM_BODY = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}={0,2}")
 _HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)$")
-_PREFILTER = rf"[A-Za-z0-9+/_\-~.]{{16}}|(?i:{_NAMES})[\w\-]{{0,20}}[\"'`\]]{{0,2}}\s{{0,3}}[:=]"
+
+
+@cache
+def _candidate(least: int) -> re.Pattern:
+    return re.compile(rf"{_KEY}{{{least},}}={{0,2}}")
+
+
+def _prefilter(p: SecretScan) -> str:
+    """What any text with a secret matches; the rest is passed on unseen. RE2 counts up to a thousand only."""
+    shortest = min(p.least, *_SHORTEST, 1000)
+    return rf"{_KEY}{{{shortest}}}|(?i:{_NAMES})[\w\-]{{0,20}}[\"'`\]]{{0,2}}\s{{0,3}}[:=]|PRIVATE KEY"
 
 
 @cache
@@ -124,21 +137,36 @@ def scan(text: str, p: SecretScan) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, novelty) of each secret in a text, ascending and without overlap; positions in characters."""
     out: list[tuple[int, int, str, float]] = []
     for found in (_blocks(text, p), _assigned(text, p), _runs(text, p)):
-        out += [x for x in found if not any(x[0] < b and a < x[1] for a, b, _, _ in out)]
+        before = sorted(out)
+        ends = [x[1] for x in before]  # ascending, as none overlap
+        for x in found:
+            k = bisect_right(ends, x[0])
+            if k == len(before) or before[k][0] >= x[1]:
+                out.append(x)
     return sorted(out)
 
 
+def _pieces(text: str, p: SecretScan) -> Iterator[tuple[int, str, str | None]]:
+    """(start, string, form): each string of a known form in a long run, and what of the run lies between them."""
+    for m in _candidate(min(p.least, *_SHORTEST)).finditer(text):
+        forms = sorted((f.start(), -len(f.group()), f.group(), k) for k, r in _FORMS for f in r.finditer(m.group()))
+        at = 0
+        for start, _, s, kind in [*forms, (len(m.group()), 0, "", None)]:
+            if start >= at:
+                if between := m.group()[at:start]:
+                    yield m.start() + at, between, None
+                if kind:
+                    yield m.start() + start, s, kind
+                at = start + len(s)
+
+
 def _runs(text: str, p: SecretScan) -> Iterator[tuple[int, int, str, float]]:
-    """Long runs of the characters of keys."""
-    for m in _CANDIDATE.finditer(text):
-        s, at = m.group(), m.start()
-        form = next(((k, f) for k, r in _FORMS if (f := r.search(s))), None)
-        if form:
-            at, s = at + form[1].start(), form[1].group()
-        else:
+    """Long runs of the characters of keys. A known form is a candidate of any length."""
+    for at, s, form in _pieces(text, p):
+        if not form:
             s = s.rstrip(".-~")  # the sentence's own
-        if len(s) < p.least:
-            continue
+            if len(s) < p.least:
+                continue
         context = bool(_CONTEXT.search(text[max(0, at - 64) : at]))
         if not form and not (_mixed(s) if context else _keylike(s)):
             continue
@@ -151,18 +179,18 @@ def _runs(text: str, p: SecretScan) -> Iterator[tuple[int, int, str, float]]:
             before, after = before.replace(s, ""), after.replace(s, "")
         value = novelty(before, s, after, p)
         if value >= (p.novelty if context or form else p.alone):
-            yield at, at + len(s), form[0] if form else "assigned" if context else "random", value
+            yield at, at + len(s), form or ("assigned" if context else "random"), value
 
 
-def _candidates(texts: pa.Array) -> pa.Array:
-    return pc.fill_null(pc.match_substring_regex(texts, _PREFILTER), False)
+def _candidates(texts: pa.Array, p: SecretScan) -> pa.Array:
+    return pc.fill_null(pc.match_substring_regex(texts, _prefilter(p)), False)
 
 
 def _report(p: SecretScan, id_name: str, text_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in _flat.slices(whole, text_name):
-                some = part.filter(_candidates(part.column(text_name)))
+                some = part.filter(_candidates(part.column(text_name), p))
                 rows: list[tuple] = []
                 for i, text in zip(some.column(id_name).to_pylist(), some.column(text_name).to_pylist(), strict=True):
                     rows += [(i, a, b, kind, round(v, 6), text[a:b]) for a, b, kind, v in scan(text, p)]
@@ -174,7 +202,9 @@ def _report(p: SecretScan, id_name: str, text_name: str):
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SecretScan = SecretScan()) -> DataFrame:
     """(doc_id, start, end, kind, novelty, secret_sha256), one row for each secret in each row; the secret itself isn't
-    handed on. Null and empty texts have none; a null id is passed on; repeated rows report again."""
+    handed on. Null and empty texts have none; a null id is passed on; repeated rows report again. A text of any length is
+    scanned whole; its compressions see ``around`` characters on each side of a candidate, so its cost is linear. An empty
+    table gives no rows. Other columns are ignored, whatever their names. Ids are cast to long, what can't be is an error."""
     ship(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(_report(params, "doc_id", "text"), "doc_id long, start int, end int, kind string, novelty double, secret string")
@@ -186,7 +216,7 @@ def _redact(p: SecretScan, text_name: str, length_name: str | None, mask: str):
         for whole in batches:
             for part in _flat.slices(whole, text_name):
                 k = part.schema.names.index(text_name)
-                some = _candidates(part.column(k))
+                some = _candidates(part.column(k), p)
                 changed: dict[int, str] = {}
                 for i, text in zip(pc.indices_nonzero(some).to_pylist(), part.column(k).filter(some).to_pylist(), strict=True):
                     if found := scan(text, p):
@@ -207,7 +237,8 @@ def _redact(p: SecretScan, text_name: str, length_name: str | None, mask: str):
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", params: SecretScan = SecretScan(), mask: str = MASK) -> DataFrame:
     """``docs`` with each secret replaced by ``mask``, and ``length_col``, where it exists as a whole number, brought up to
-    date. All rows and columns stay."""
+    date. All rows and columns stay, in any number and under any names: null and empty texts as they are, repeated rows
+    masked alike, texts of any length scanned whole. An empty table gives an empty table."""
     ship(docs.sparkSession)
     kinds = dict(docs.dtypes)
     length = length_col if kinds.get(length_col) in ("bigint", "int") else None

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 
 import pytest
+import zstandard
 
 from lodestone.llm import secrets
 from lodestone.llm.secrets import SecretScan
@@ -63,3 +65,102 @@ def test_a_private_key_is_masked_whole(docs_of, end):
     (row,) = secrets.redact_secrets(docs_of([(1, f"{PROSE}\n{key}\n{PROSE}")])).collect()
     assert row.text == f"{PROSE}\n[SECRET]\n{PROSE}"
     assert secrets.scan(row.text, SecretScan()) == []
+
+
+@pytest.mark.parametrize("text", [f"{PROSE}ghp_{HEX}/ghp_{HEX[::-1]} {PROSE}", f"{PROSE}{KEY}.ghp_{HEX}~{KEY[:4]}{KEY[:3:-1]} {PROSE}"])
+def test_every_form_in_a_run_is_found(text):
+    found = {text[a:b] for a, b, _, _ in secrets.scan(text, SecretScan())}
+    assert found == {f"ghp_{HEX}", f"ghp_{HEX[::-1]}"} or found == {KEY, f"ghp_{HEX}", KEY[:4] + KEY[:3:-1]}
+
+
+def test_the_shortest_candidate_is_a_parameter(docs_of):
+    text = f"{PROSE}bearer {HEX[:12]} {PROSE}"
+    assert secrets.scan(text, SecretScan()) == []
+    assert [text[a:b] for a, b, _, _ in secrets.scan(text, SecretScan(least=12))] == [HEX[:12]]
+    assert secrets.find_secrets(docs_of([(1, text)]), params=SecretScan(least=12)).count() == 1
+
+
+def brute(text, p):
+    """Every character in turn: values of sensitive names, runs of key characters and known forms, each measured by zstandard twice."""
+    names = ["password", "passwd", "passphrase", "pass", "pwd", "secret", "token", "api_key", "apikey", "api-key", "bearer", "authorization", "auth", "access_key"]
+    identifiers = zstandard.ZstdCompressionDict(p.identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    alphabet = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-~.")
+
+    def size(s):
+        return len(zstandard.ZstdCompressor(dict_data=identifiers, level=p.level, write_content_size=False, write_checksum=False).compress(s.encode()))
+
+    def new(at, s, twice):
+        before, after = text[max(0, at - p.around) : at], text[at + len(s) : at + len(s) + p.around]
+        if twice:
+            before, after = before.replace(s, ""), after.replace(s, "")
+        kinds = 26 * any(c.islower() for c in s) + 26 * any(c.isupper() for c in s) + 10 * any(c.isdigit() for c in s) + 2 * any(not (c.isascii() and c.isalnum()) for c in s)
+        bits = 4 if all(c in "0123456789abcdef" for c in s) or all(c in "0123456789ABCDEF" for c in s) else math.log2(max(2, kinds))
+        return (size(f"{before} {after} {s}") - size(f"{before} {after} ")) * 8 / len(s) / bits
+
+    def named(at):
+        """Whether a sensitive name and what may stand behind it end here."""
+        head = text[max(0, at - 64) : at].lower()
+        head = head[: len(head) - min(3, len(head) - len(head.rstrip()))]
+        for q in (0, 1, 2):
+            if q <= len(head) and all(c in "\"'`]" for c in head[len(head) - q :]):
+                rest = head[: len(head) - q]
+                for tail in range(0, 21):
+                    end = len(rest) - tail
+                    if all(c.isalnum() or c in "_-" for c in rest[end:]) and end >= 0 and any(rest[:end].endswith(n) for n in names):
+                        return True
+        return False
+
+    out, k = [], 0
+    while k < len(text):
+        for sign in ("=>", ":=", "===", "==", "=", ":"):
+            if text.startswith(sign, k):
+                at = k + len(sign)
+                while at < len(text) and at < k + len(sign) + 3 and text[at].isspace():
+                    at += 1
+                if named(k) and at < len(text):
+                    if text[at] in "\"'`":
+                        end = text.find(text[at], at + 1)
+                        at, end = (at + 1, end) if end > at + 1 and "\n" not in text[at:end] else (at, at)
+                        s = text[at:end]
+                    else:
+                        end = at
+                        while end < len(text) and not text[end].isspace() and text[end] not in "\"'`":
+                            end += 1
+                        s = text[at:end].rstrip(".,;:")
+                    if len(s) >= p.assigned and new(at, s, True) >= p.novelty:
+                        out.append((at, at + len(s)))
+                k = at - 1
+                break
+        k += 1
+    k = 0
+    while k < len(text):
+        end = k
+        while end < len(text) and text[end] in alphabet:
+            end += 1
+        s = text[k:end].rstrip(".-~")
+        digits = sum(c.isdigit() for c in s)
+        if len(s) >= p.least and not any(a < k + len(s) and k < b for a, b in out) and digits >= 2 and len(s) - digits >= 2 and "/" not in s + text[k - 1 : k] and text[k + len(s) : k + len(s) + 1] != "@" and new(k, s, False) >= p.alone:
+            out.append((k, k + len(s)))
+        k = end + 1
+    return sorted(out)
+
+
+def test_against_brute_force(docs_of):
+    rng = random.Random(41)
+    letters, marks = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "!@#$%^*()?&"
+    draw = lambda n, some=letters: "".join(rng.choice(some) for _ in range(n))
+    pairs = []
+    for k in range(300):
+        pieces = []
+        for _ in range(rng.randint(1, 5)):
+            pieces.append(" ".join(rng.choice(PROSE.split()) for _ in range(rng.randint(3, 20))))
+            name, sign, quote = rng.choice(["password", "token", "api_key", "secret", "db_password_main", "colour", "size", "note"]), rng.choice(["=", ": ", " = ", ":= ", " => "]), rng.choice(["", '"', "'"])
+            value = rng.choice([draw(rng.randint(4, 40)), draw(rng.randint(8, 20), letters + marks), draw(40, "0123456789abcdef"), "configuration_of_version", "aaaaaaaaaaaaaaaaaaaaaaaa", "get_password_from_environment()"])
+            pieces.append(rng.choice([f"{name}{sign}{quote}{value}{quote}", draw(rng.randint(10, 40)), "see /usr/lib/" + draw(20)]))
+        pairs.append((k, " ".join(pieces) + "\n"))
+    got = {}
+    for r in secrets.find_secrets(docs_of(pairs)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    want = {k: found for k, t in pairs if (found := brute(t, SecretScan()))}
+    assert len(want) > 150
+    assert {k: sorted(v) for k, v in got.items()} == want
