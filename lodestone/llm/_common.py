@@ -4,50 +4,13 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = Path(__file__).resolve().parents[2]
+from lodestone.functions.columns import col, forget, shared_dir, ship, stored
 
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't see the driver's ``sys.path``."""
-    sc = spark.sparkContext
-    seen = {str(Path(p or ".").resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)} | {str(Path.cwd())}
-    if str(_ROOT) in seen or getattr(sc, "_lodestone_shipped", False):
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in (_ROOT / "lodestone").rglob("*.py"):
-            z.write(p, p.relative_to(_ROOT))
-    sc.addPyFile(target)
-    sc._lodestone_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Only where it is unset (tests,
-    local mode) a folder of this machine is chosen."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lodestone-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, nothing is
-    recomputed when an executor is lost, and later reads are columnar."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["col", "forget", "fresh", "log", "partitions", "shared_dir", "ship", "stored", "text_key"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -67,11 +30,6 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("lodestone"), text)]
 
 
-def col(name: str) -> Column:
-    """A column by its exact name, dots and blanks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,8 +12,8 @@ from lodestone.llm import ann, bpe, exact_dedup, html_extract, line_dedup, near_
 
 #: Pruning in vector search: 1 is exact, whatever the structure of the vectors. Larger factors lose neighbours where there is some.
 ANN_FACTOR = 1.0
-#: The key of the surrogates. Set it in production: who knows it can test guesses.
-PII_KEY = os.environ.get("LODESTONE_PII_KEY", "lodestone").encode()
+#: The key of the surrogates: who knows it can test guesses. Where none is set, one of this process that nobody knows.
+PII_KEY = os.environ.get("LODESTONE_PII_KEY", "").encode() or os.urandom(32)
 VOCABULARY = os.environ.get("LODESTONE_VOCABULARY", bpe.VOCABULARY)
 
 Query = Callable[[SparkSession, str], DataFrame]

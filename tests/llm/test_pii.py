@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -85,3 +86,87 @@ def test_odd_and_empty(odd, empty):
     got = pii.replace_personal_data(odd, KEY)
     assert sorted(map(repr, got.select("doc_id", "text").collect())) == sorted(map(repr, odd.select("doc_id", "text").collect()))
     assert pii.replace_personal_data(empty, KEY).count() == 0
+
+
+def test_a_person_is_one_entity_with_and_without_titles():
+    new = replaced("Mr. Jonathan Whitfield came. Dr. Jonathan Whitfield left. Whitfield said so. Jonathan agreed. My name is Anna Li.")
+    given, family = re.match(r"Mr\. (\w+) (\w+) came", new).groups()
+    assert f"Dr. {given} {family} left. {family} said so. {given} agreed." in new and given.casefold() in pii._MALE
+    assert "Jonathan" not in new and "Whitfield" not in new and "Anna" not in new
+
+
+@pytest.mark.parametrize("text, gone", [("Señora María de la Cruz vino. Cruz dijo.", ["María", "Cruz"]), ("Mr. Aone Btwo Cthree Dfour Efive left", ["Aone", "Btwo", "Cthree", "Dfour", "Efive"]), ("Amex 3782 822463 10005.", ["822463"]), ("tel +١ (٩٨٨) ٥٥٥-٢٤٨٥", ["٥٥٥"]), ("my name is Ödön Kovács", ["Ödön", "Kovács"]), ("So said Anna Schmidt, then Schmidt left", ["Anna", "Schmidt"])])
+def test_names_and_numbers_in_other_forms(spark, docs_of, text, gone):
+    (row,) = pii.replace_personal_data(docs_of([(1, text)]), KEY).collect()
+    assert row.n_replaced >= len(gone) and not any(x in row.text for x in gone)
+    assert not any(c.isascii() and c.isdigit() for c in row.text) or any(c.isascii() and c.isdigit() for c in text)
+
+
+def test_scripts_are_kept():
+    assert re.fullmatch(r"[^\x00-\x7f][a-z]{5}@[a-z]{2}[^\x00-\x7f][a-z]{4}\.com", replaced("élodie@exämple.com"))
+    assert re.fullmatch(r"[一-龥]{2}@x\.com", replaced("小明@x.com").replace(replaced("小明@x.com").split("@")[1], "x.com"))
+
+
+@given(st.integers(1, 5000), st.binary(min_size=1, max_size=8))
+@settings(max_examples=40, deadline=None)
+def test_permutations_are_one_cycle(n, key):
+    seen, x = set(), 0
+    for _ in range(n):
+        x = pii.permuted(x, n, key, "t")
+        assert 0 <= x < n
+        seen.add(x)
+    assert len(seen) == n
+
+
+@pytest.mark.parametrize("kind, entities", [("ssn", [f"{k * 7919:09d}" for k in range(500)]), ("card", [f"4{k:014d}{pii.luhn(f'4{k:014d}')}" for k in range(300)] + [f"4{k:014d}{(pii.luhn(f'4{k:014d}') + 1 + k % 9) % 10}" for k in range(300)]), ("phone", [f"1{k:010d}" for k in range(500)]), ("ip", [f"10.{k % 7}.{k % 11}.{k % 251}" for k in range(500)] + [f"8.{k % 7}.3.{k % 251}" for k in range(500)])])
+def test_numbers_stay_distinct_and_valid(kind, entities):
+    entities = sorted(set(entities))
+    new = [pii.surrogate(kind, e, 0, KEY) for e in entities]
+    assert len(set(new)) == len(new) and all(a != b and len(a.replace(".", "")) > 3 for a, b in zip(entities, new, strict=True))
+    if kind == "card":
+        assert all((pii.luhn(a[:-1]) == int(a[-1])) == (pii.luhn(b[:-1]) == int(b[-1])) for a, b in zip(entities, new, strict=True))
+    assert [pii.space(kind, e) for e in entities] == [pii.space(kind, e) for e in new]
+
+
+def test_a_full_range_ends(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 5)
+    entities = [("ip", f"192.168.{k // 256}.{k % 256}") for k in range(40_000)] + [("ip", "8.8.8.8"), ("domain", "x.com")]
+    rows = pii.assign(spark.createDataFrame(entities, "kind string, entity string"), KEY).collect()
+    assert len(rows) == len(entities) and len({(r.kind, r.written) for r in rows}) == len(rows)
+    assert all(r.written != r.entity and r.written.startswith("192.168.") for r in rows if r.space == "ip 192.168")
+
+
+def test_gender_is_that_of_the_whole_table(docs_of):
+    pairs = [(1, "Dr. Jonathan Whitfield spoke."), (2, "Mr. Jonathan Whitfield spoke."), (3, "Prof. Jonathan Oakes spoke.")]
+    got = {r.doc_id: r.text for r in pii.replace_personal_data(docs_of(pairs), KEY).collect()}
+    names = {t.split()[1] for t in got.values()}
+    assert len(names) == 1 and names.pop().split("-")[0].casefold() in pii._MALE
+
+
+def test_detection_against_what_was_planted(docs_of):
+    """Texts are put together from prose and entities of known places; what was replaced are those places and no other."""
+    rng = random.Random(51)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9)))
+    makers = [lambda: ([f"{word()}.{word()}", f"{word()}.org"], "@"), lambda: ([f"+44 ({digits(3)}) {digits(3)}-{digits(4)}"], ""), lambda: ([f"{rng.randint(1, 9)}{digits(2)}-{digits(2)}-{digits(4)}"], ""), lambda: ([f"192.168.{rng.randint(0, 255)}.{rng.randint(0, 255)}"], ""), lambda: ([f"4{digits(3)} {digits(4)} {digits(4)} {digits(4)}"], ""), lambda: (["Q" + word(), "Z" + word()], " ")]
+    pairs, want = [], {}
+    for k in range(250):
+        text, spans = "", []
+        for _ in range(rng.randint(0, 6)):
+            text += " ".join(word() for _ in range(rng.randint(1, 12))) + " "
+            parts, sep = rng.choice(makers)()
+            text += "Mrs. " if sep == " " else ""
+            for j, part in enumerate(parts):
+                text += sep if j else ""
+                spans.append((len(text), len(text) + len(part)))
+                text += part
+            text += " "
+        pairs.append((k, text))
+        want[k] = spans
+    got = {r.doc_id: r for r in pii.replace_personal_data(docs_of(pairs), KEY).collect()}
+    for k, text in pairs:
+        assert [(m.start, m.end) for m in pii.mentions(text)] == want[k] and got[k].n_replaced == len(want[k])
+        bounds = [0, *(x for s in want[k] for x in s), len(text)]
+        clear = [text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)]
+        m = re.fullmatch("(.+)".join(re.escape(c) for c in clear), got[k].text)
+        assert m and all(new != text[a:b] for new, (a, b) in zip(m.groups(), want[k], strict=True))
