@@ -1,6 +1,6 @@
 """Vector best-fit packing of documents into training sequences.
 
-A piece (a document, or a part of one longer than a bin) asks for three things: tokens, one place among the bin's
+A piece (a document, or one of the equal parts of one longer than any bin can take) asks for three things: tokens, one place among the bin's
 documents, and attention cost (the square of its tokens, as attention stays inside a piece). A bin has a capacity of
 each. Pieces are placed in descending order of size; among the bins in which a piece fits under every constraint, the
 one of the best score takes it:
@@ -28,11 +28,13 @@ from lodestone.llm._common import col, ship, stored
 
 @dataclass(frozen=True)
 class Packing:
-    """tokens, documents, attention: capacities of a bin. weights: of the three in the score. rule: 'dot' or 'norm'."""
+    """tokens, documents, attention: capacities of a bin. weights: of the three in the score. rule: 'dot' or 'norm'. The
+    attention of a bin is half of what one piece of all its tokens would cost: a long piece takes a bin's attention
+    before its tokens, and shares it with short ones."""
 
     tokens: int = 4096
     documents: int = 32
-    attention: int = 4096 * 4096
+    attention: int = 4096 * 4096 // 2
     weights: tuple[float, float, float] = (1.0, 0.25, 0.5)
     rule: str = "norm"
     shard_pieces: int = 8192
@@ -148,17 +150,21 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Packing = Packing(), vocabulary: bpe.Vocabulary | None = None) -> DataFrame:
     """(doc_id, piece, start_token, n_tokens, shard, bin, bin_tokens, bin_id), one row for each piece of each row.
 
-    Tokens are those of ``vocabulary``, as ``bpe.encode`` gives them; without one, words and marks (``token_counts``).
-    A row of no tokens (null or empty text; of words, also blank text) has no piece. A null id is packed like any other; repeated rows are
-    packed each. Other columns are ignored. Equal sizes are placed in the order of a hash of id and text, so the
-    result doesn't depend on how the table is stored."""
+    Tokens are those of ``vocabulary``, as ``bpe.encode`` gives them; without one, words and marks (``token_counts``). A
+    text of more than ``params.longest`` tokens, however long, is cut into equal pieces. A row of no tokens (null or empty
+    text; of words, also blank text) has no piece. A null id is packed like any other; repeated rows are packed each. An
+    empty table gives no rows. Other columns are ignored, whatever their names. Ids are cast to long, what can't be is an
+    error. Equal sizes are placed in the order of a hash of id and text, so the result doesn't depend on how the table is
+    stored."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"))
     counted = stored(rows.mapInArrow(_count_bpe(vocabulary) if vocabulary else _count("doc_id", "text"), "doc_id long, mark long, n long").where("n > 0"), "token-counts")
-    pieces = counted.select("doc_id", "mark", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / params.longest).cast("int") - 1)).alias("piece"))
-    pieces = pieces.select("doc_id", "mark", "piece", (F.col("piece").cast("long") * params.longest).alias("start_token"), F.least(F.lit(params.longest).cast("long"), F.col("n") - F.col("piece").cast("long") * params.longest).alias("n_tokens"))
+    parts = F.ceil(F.col("n") / params.longest).cast("long")
+    pieces = counted.select("doc_id", "mark", "n", parts.alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("piece"))
+    start, stop = F.expr("(n * piece) div parts"), F.expr("(n * (piece + 1)) div parts")
+    pieces = pieces.select("doc_id", "mark", F.col("piece").cast("int").alias("piece"), start.alias("start_token"), (stop - start).alias("n_tokens"))
     total = counted.agg(F.sum(F.ceil(F.col("n") / params.longest))).first()[0] or 0
     shards = max(1, round(total / params.shard_pieces))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("mark", "piece"), F.lit(shards)))

@@ -97,3 +97,24 @@ def test_the_query_packs_tokens_of_the_vocabulary(docs_of, spark, tmp_path):
     want = {r.doc_id: r.n_tokens for r in bpe.encode(frame, bpe.load(queries.VOCABULARY)).collect() if r.n_tokens}
     assert got == want and want[2] > 4096
     assert max(full.values()) <= 4096
+
+
+@pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no vocabulary file here")
+def test_each_capacity_of_the_query_binds(docs_of, spark, tmp_path):
+    """Through the query: some bins have room for a piece by tokens and documents and not by attention, and vice versa."""
+    rng = np.random.default_rng(26)
+    sizes = [*rng.integers(2000, 9000, 60), *rng.integers(1, 60, 3000), *rng.integers(60, 1500, 200)]
+    docs_of([(k, "a " * int(n)) for k, n in enumerate(sizes)]).write.parquet(f"{tmp_path}/documents.parquet")
+    bins = defaultdict(list)
+    for r in queries.op3_best_fit_packing(spark, str(tmp_path)).collect():
+        bins[r.bin_id].append(r.n_tokens)
+    p = Packing()
+    used = [(sum(b), len(b), sum(n * n for n in b)) for b in bins.values()]
+    assert all(t <= p.tokens and d <= p.documents and a <= p.attention for t, d, a in used)
+    smallest = min(n for b in bins.values() for n in b)
+    closed = [(t + smallest > p.tokens, d + 1 > p.documents, a + smallest**2 > p.attention) for t, d, a in used]
+    for k in range(3):
+        assert any(c[k] for c in closed)
+    # without the capacity for attention the bins would be others
+    free = packing.best_fit(np.sort([n for b in bins.values() for n in b])[::-1], Packing(attention=p.tokens**2))
+    assert max(np.bincount(free, np.sort([n * n for b in bins.values() for n in b])[::-1])) > p.attention

@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from lodestone.llm import near_dedup, packing, secrets  # noqa: E402
+from lodestone.llm import bpe, near_dedup, queries, secrets  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,8 +59,8 @@ def test_stage_by_stage(spark, folder, tmp_path):
     tokens = {}
     for r in docs.collect():
         tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.n_tokens
-    ids = sorted(i for i, t in text.items() if t)
-    assert tokens == dict(zip(ids, packing.token_counts(pa.array([text[i] for i in ids])).tolist(), strict=True))
+    counted = bpe.encode(spark.read.parquet(f"{tmp_path}/secrets"), bpe.load(queries.VOCABULARY)).collect()
+    assert tokens == {r.doc_id: r.n_tokens for r in counted if r.n_tokens}
 
 
 def test_run_gives_the_same(spark, folder, tmp_path):
@@ -70,3 +70,17 @@ def test_run_gives_the_same(spark, folder, tmp_path):
         stage(spark, docs, base).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     assert sorted(map(tuple, corpus_pipeline.run(spark, base).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_odd_and_empty_tables_through_every_stage(spark, odd, empty, folder):
+    """Nulls in every column, empty and very long texts, repeated rows, columns of clashing names; and nothing at all."""
+    base, _ = folder
+    for name, stage in corpus_pipeline.STAGES:
+        for frame in (odd, empty):
+            got = stage(spark, frame, base)
+            if name == "packing":
+                assert {r.doc_id for r in got.collect()} <= {r.doc_id for r in frame.collect()}
+            else:
+                assert got.columns == frame.columns
+                kept = sorted(map(repr, got.select("doc_id", "text").collect()))
+                assert not [r for r in kept if r not in set(map(repr, frame.select("doc_id", "text").collect()))]
