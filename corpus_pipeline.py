@@ -10,29 +10,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import exact_dedup, near_dedup, packing, quality, secrets
+from lodestone.llm import bpe, exact_dedup, near_dedup, packing, quality, secrets
 from lodestone.llm._common import shared_dir
+from lodestone.llm.queries import VOCABULARY
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier, fitted on ``labels``, takes for good, with all their columns. A null or empty text is
+    judged as the empty text, repeated rows alike, a text of any length whole; an empty table stays empty. Without labels
+    of both classes every row is good."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text: that of the smallest id, a null id being larger than any; of repeated rows one. Rows without
+    text stay, the empty text is a text, an empty table stays empty."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows without those that have a near copy of a smaller id. Rows without id or text stay, rows that repeat one id
+    and text stay all; an empty table stays empty."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, secrets replaced by ``[SECRET]`` and n_chars brought up to date. Null and empty texts stay as they are."""
     return secrets.redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """A row for each piece of each row, and its bin; tokens are those of the BPE vocabulary, as in op10. Rows without
+    tokens (null or empty text) have no piece; a null id is packed like any other; an empty table gives no rows."""
+    return packing.pack(docs, vocabulary=bpe.load(VOCABULARY))
 
 
 STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("secrets", secrets_stage), ("packing", packing_stage)]
