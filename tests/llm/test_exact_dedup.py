@@ -80,3 +80,19 @@ def test_odd_and_empty(odd, empty):
     assert sorted(r.doc_id for r in got.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 6, 8, 9]
     assert exact_dedup.exact_duplicates(odd).count() == odd.count()
     assert exact_dedup.drop_exact_duplicates(empty).count() == 0 and exact_dedup.exact_duplicates(empty).count() == 0
+
+
+def test_a_hot_text_and_a_hot_row(docs_of):
+    """A third of the rows are one text, and many of them one row, in any number of partitions."""
+    pairs = [(k % 400, "hot") for k in range(900)] + [(0, "hot")] * 200 + [(k, f"t{k % 300}") for k in range(900)]
+    for frame in (docs_of(pairs), docs_of(pairs).repartition(13)):
+        assert rows(exact_dedup.exact_duplicates(frame, memtable=50)) == brute(pairs)
+        kept = rows(exact_dedup.drop_exact_duplicates(frame, memtable=50).select("doc_id", "text"))
+        assert kept == sorted(_survivors(pairs), key=repr)
+
+
+def test_a_run_of_many_digests_of_one_upper_half():
+    high, low = np.zeros(500, np.uint64), np.random.default_rng(9).permutation(500).astype(np.uint64) * np.uint64(2)
+    run = exact_dedup.Run(high, low, np.arange(500), np.ones(500, np.int64))
+    assert (run.find(run.high, run.low) == np.arange(500)).all()
+    assert (run.find(run.high, run.low + np.uint64(1)) == -1).all()
