@@ -231,7 +231,9 @@ def _encode(v: Vocabulary, partition: int):
 def encode(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text", partition: int = PARTITION) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip) for every row; round_trip says that decoding gives back the text's bytes.
 
-    A null text has null tokens, 0 of them; the empty text has none. A null id is passed on. Other columns are ignored."""
+    A null text has null tokens, 0 of them; the empty text has none. A null id is passed on, repeated rows are encoded each.
+    A text of any length is encoded whole, one longer than ``partition`` by an index of its own. An empty table gives no
+    rows. Other columns are ignored, whatever their names. Ids are cast to long, what can't be is an error."""
     ship(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_encode(v, partition), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")

@@ -25,7 +25,9 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Blank lines are never dropped. A document is an id (a row without id counts as a document by its text), so
     rows that repeat an id count once. A null text stays null, with 0 lines; the empty text has one (blank) line. A
-    text all of whose lines go becomes empty. Other columns are ignored."""
+    text all of whose lines go becomes empty. A text of any length is read whole, a line of any length hashed whole. An
+    empty table gives no rows. Other columns are ignored, whatever their names. Ids are cast to long, what can't be is an
+    error."""
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     k1, k2 = text_key(F.col("text"))
     lines = F.split("text", "\n", -1)

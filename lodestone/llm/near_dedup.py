@@ -6,10 +6,13 @@ r_i errors, with sum(r_i + 1) > ``distance``. By pigeonhole, two signatures with
 chunk up to its r_i errors. Every way to leave out r_i slots of chunk i is enumerated and what remains is a
 key, so such a pair shares at least one key: no pair within the distance is missed.
 
-Rows of one key are then compared in full. In a bucket, a breadth-first search measures each signature that it
-reaches against those not reached yet: exactly the components of the graph of all pairs within the distance,
-in edges linear in the bucket, however many copies it holds. Components over all buckets come from alternating
-large-star and small-star steps. Nothing is capped.
+Rows of one key, a bucket, are then compared in full. A breadth-first search measures each signature that it reaches
+against those not reached yet: exactly the components of the graph of all pairs within the distance, in edges linear
+in the bucket, however many copies it holds. Components over all buckets come from alternating large-star and
+small-star steps. Links are counted, not listed: each pair of signatures counts in the bucket of the first key that
+it shares, with the number of documents that the other signature stands for. A bucket of more than ``BLOCK``
+signatures is cut into blocks, and each pair of blocks is a bucket of its own, wherever there is room. Nothing is
+capped.
 """
 
 from __future__ import annotations
@@ -24,7 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import _flat
-from lodestone.llm._common import col, fresh, ship, stored
+from lodestone.llm._common import col, forget, fresh, ship, stored
+
+
+#: Signatures that one task compares at a time, and pairs whose slots are compared at once.
+BLOCK, PAIRS = 4096, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -160,7 +167,8 @@ def _enumerate(p: NearDedup):
                 part = whole.slice(at, 8192)
                 k = keys(_matrix(part.column("sig"), p), p)
                 nodes = np.repeat(part.column("node").to_numpy(), k.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(nodes)], ["key", "node"])
+                masks = np.tile(np.arange(k.shape[1], dtype=np.int16), len(k))
+                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(nodes), pa.array(masks)], ["key", "node", "mask"])
 
     return run
 
@@ -193,12 +201,45 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.filter(pa.array(same[1:] | same[:-1])).combine_chunks().to_batches()
 
 
+def _links(sigs: np.ndarray, weight: np.ndarray, mask: np.ndarray, side: np.ndarray, cut: np.ndarray, p: NearDedup) -> np.ndarray:
+    """For each row the documents within the distance that it meets first in its bucket (``cut`` are the buckets' bounds).
+    In a pair of two blocks, rows of one block have met elsewhere."""
+    stay = np.zeros((len(p.masks()), p.slots), np.float32)
+    for j, (_, slots) in enumerate(p.masks()):
+        stay[j, list(slots)] = 1
+    out = np.zeros(len(sigs), np.int64)
+    stop = np.repeat(cut[1:], np.diff(cut))
+    after = stop - np.arange(len(sigs)) - 1
+    sums = np.concatenate([[0], np.cumsum(after)])
+    two = np.repeat(np.maximum.reduceat(side, cut[:-1]) != np.minimum.reduceat(side, cut[:-1]), np.diff(cut))
+    low = 0
+    while low < len(sigs):
+        high = max(low + 1, int(np.searchsorted(sums, sums[low] + PAIRS, "right")) - 1)
+        n = after[low:high]
+        a = np.repeat(np.arange(low, high), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(sums[low:high] - sums[low], n)
+        apart = ~two[a] | (side[a] != side[b])
+        a, b = a[apart], b[apart]
+        differ = sigs[a] != sigs[b]
+        near = differ.sum(1) <= p.distance
+        a, b, differ = a[near], b[near], differ[near]
+        first = (differ.astype(np.float32) @ stay.T == 0).argmax(1) == mask[a] if len(a) else np.zeros(0, bool)
+        a, b = a[first], b[first]
+        out += np.bincount(a, weight[b], len(out)).astype(np.int64) + np.bincount(b, weight[a], len(out)).astype(np.int64)
+        low = high
+    return out
+
+
 def _verify(p: NearDedup):
+    """(u, v, links): the edges of each bucket (links null), and what each signature adds to its links (v null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs("key", batches):
             k, node, sigs = table.column("key").to_numpy(), table.column("node").to_numpy(), _matrix(table.column("sig").combine_chunks(), p)
+            weight, mask, side = (table.column(c).to_numpy() for c in ("weight", "mask", "side"))
             cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
             size = np.diff(cut)
+            links = _links(sigs, weight, mask, side, cut, p)
             two = cut[:-1][size == 2]
             ok = (sigs[two] != sigs[two + 1]).sum(1) <= p.distance
             a, b = [node[two[ok]]], [node[two[ok] + 1]]
@@ -208,12 +249,36 @@ def _verify(p: NearDedup):
                 a.append(node[low + root[linked]])
                 b.append(node[low + linked])
             a, b = np.concatenate(a), np.concatenate(b)
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            yield from pa.Table.from_pandas(_distinct(low, high), preserve_index=False).to_batches()
+            some = np.flatnonzero(links)
+            for frame in (_distinct(np.minimum(a, b), np.maximum(a, b)).assign(links=None), _summed(node[some], links[some])):
+                if len(frame):
+                    yield from pa.Table.from_pandas(frame, _VERIFIED, preserve_index=False).to_batches()
 
     return run
 
 
+_VERIFIED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
+
+
+def _summed(node: np.ndarray, links: np.ndarray):
+    import pandas as pd
+
+    return pd.DataFrame({"u": node, "links": links}).groupby("u", as_index=False).sum().assign(v=None)
+
+
+def _blocks(shared: DataFrame) -> DataFrame:
+    """Buckets of at most about ``BLOCK`` rows: larger ones become pairs of blocks, each with a key of its own."""
+    large = stored(shared.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
+    if large.isEmpty():
+        return shared.withColumn("side", F.lit(0))
+    met = shared.join(large, "key", "left")
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    split = met.where("blocks IS NOT NULL").withColumn("side", own).withColumn("other", other)
+    split = split.withColumn("key", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
+    return met.where("blocks IS NULL").select("key", "node", "mask", F.lit(0).alias("side")).unionByName(split.select("key", "node", "mask", "side"))
+
+
 def _distinct(low: np.ndarray, high: np.ndarray):
     import pandas as pd
 
@@ -231,7 +296,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        star = stored(small, "edges")
+        before, star = star, stored(small, "edges")
+        forget(before)
         now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -239,28 +305,35 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDedup = NearDedup()) -> DataFrame:
-    """(doc_id, keep_id): for each document with a near copy, the least id of its group (its own, if it stays).
+    """(doc_id, keep_id, n_links) for each document with a near copy: the least id of its group (its own, if it stays) and the
+    number of other documents whose signatures are within the distance of its own. Of each link both ends are counted.
 
     Null or empty texts have no near copies; rows without id take no part; rows that repeat an id with the same
-    text are one document. Other columns are ignored, whatever their names. An empty table gives no rows."""
+    text are one document, rows that repeat it with other texts are several of one id, whose links add up. A text of any
+    length counts whole. Other columns are ignored, whatever their names. An empty table gives no rows. Ids are cast to
+    long, what can't be is an error."""
     ship(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL AND text != ''")
     signed = rows.mapInArrow(_sign(params, "id", "text"), "id long, sig binary")
     signed = stored(signed.select("id", F.xxhash64("sig").alias("node"), "sig"), "signatures")
+    members = stored(signed.select("id", "node").distinct(), "members")
     nodes = signed.groupBy("node").agg(F.first("sig").alias("sig"))
-    sigs = nodes
-    keyed = nodes.mapInArrow(_enumerate(params), "key long, node long")
-    shared = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long")
-    buckets = stored(shared, "buckets").join(sigs, "node").repartition("key").sortWithinPartitions("key")
-    edges = buckets.mapInArrow(_verify(params), "u long, v long")
-    roots = connected(edges)
-    grouped = signed.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    groups = grouped.groupBy("root").agg(F.min("id").alias("keep_id"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("root", "keep_id")
-    return grouped.join(groups, "root").select(F.col("id").alias("doc_id"), "keep_id").distinct()
+    sigs = nodes.join(members.groupBy("node").agg(F.count("*").alias("weight")), "node")
+    keyed = nodes.mapInArrow(_enumerate(params), "key long, node long, mask short")
+    shared = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, mask short")
+    buckets = _blocks(stored(shared, "buckets")).join(sigs, "node").repartition("key").sortWithinPartitions("key")
+    verified = stored(buckets.mapInArrow(_verify(params), "u long, v long, links long"), "verified")
+    roots = connected(verified.where("v IS NOT NULL").select("u", "v"))
+    links = verified.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("others"))
+    met = members.join(roots, "node", "left").join(sigs.select("node", "weight"), "node").join(links, "node", "left")
+    grouped = met.select("id", F.coalesce("root", "node").alias("root"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    groups = grouped.groupBy("root").agg(F.min("id").alias("keep_id"), F.max("id").alias("high")).where("keep_id < high").select("root", "keep_id")
+    return grouped.join(groups, "root").groupBy(F.col("id").alias("doc_id"), "keep_id").agg(F.sum("n_links").alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDedup = NearDedup()) -> DataFrame:
-    """``docs`` without the documents that have a near copy of a smaller id. Rows without id or text stay."""
+    """``docs`` without the documents that are in a group of near copies with one of a smaller id, with all columns. Rows
+    without id or text stay, repeated rows of a document that stays do, too; an empty table stays empty."""
     pairs = near_duplicates(docs, id_col, text_col, params)
     (key,) = fresh(docs, "near_key")
     gone = stored(pairs.where("doc_id != keep_id").select(F.col("doc_id").alias(key)).distinct(), "near-gone")

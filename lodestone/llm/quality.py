@@ -147,14 +147,17 @@ def _score(model: Model, text_name: str, names: list[str]):
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, is_good) for every row; a null text is scored as the empty text, a null id is passed on."""
+    """(doc_id, score, is_good) for every row; a null text is scored as the empty text, a null id is passed on, repeated rows
+    are scored alike. The statistics are those of the whole text, of any length. An empty table gives no rows. Other
+    columns are ignored, whatever their names. Ids are cast to long, what can't be is an error."""
     ship(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_score(model, "text", ["doc_id", "score", "is_good"]), "doc_id long, score double, is_good boolean")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model takes for good, with all their columns."""
+    """The rows of ``docs`` that the model takes for good, with all their columns, whatever these are called. A null text is
+    judged as the empty text, repeated rows alike, a text of any length whole; an empty table stays empty."""
     ship(docs.sparkSession)
     score, good = fresh(docs, "quality_score", "quality_good")
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(good, T.BooleanType())])

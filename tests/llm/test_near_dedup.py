@@ -82,3 +82,26 @@ def test_odd_and_empty(odd, empty):
     assert kept.columns == odd.columns
     assert kept.count() == odd.count() - 2
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.drop_near_duplicates(empty).count() == 0
+
+
+def links(pairs, p):
+    """The documents within the distance of each, by brute force over all pairs of documents."""
+    pairs = sorted({(i, t) for i, t in pairs if i is not None and t})
+    sigs, _ = near_dedup.signatures(pa.array([t for _, t in pairs], pa.string()), p)
+    near = (sigs[:, None] != sigs[None]).sum(2) <= p.distance
+    return {i: int(n) - 1 for (i, _), n in zip(pairs, near.sum(1), strict=True) if n > 1}
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_links_are_those_of_all_pairs(docs_of, monkeypatch, block):
+    """Also where buckets are cut into blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    p, pairs = NearDedup(slots=32, bits=8, distance=9, errors=1), []
+    for _ in range(6):
+        base = prose(rng, 120)
+        pairs += [(len(pairs) + k, " ".join(edited(rng, base, share))) for k, share in enumerate(rng.uniform(0, 0.2, 40))]
+    pairs += [(1000 + k, pairs[k % 3][1]) for k in range(60)] + [(2000, "alone in here"), (1, pairs[1][1]), (None, pairs[0][1])]
+    got = {r.doc_id: (r.keep_id, r.n_links) for r in near_dedup.near_duplicates(docs_of(pairs), params=p).collect()}
+    assert {i: n for i, (_, n) in got.items()} == links(pairs, p)
+    assert sorted((i, k) for i, (k, _) in got.items()) == brute(pairs, p)
