@@ -17,6 +17,10 @@ class IntegrityError(LodestoneError):
     """Stored data contradict their hashes, counts or bounds."""
 
 
+class OutOfSyncError(IntegrityError):
+    """Tokens belong to documents that aren't there."""
+
+
 class DuplicateViewError(LodestoneError, ValueError):
     """A tokenizer has a view already."""
 

@@ -9,16 +9,18 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import ed25519
-from lodestone.functions.blake3 import hash_many
+from lodestone.functions.blake3 import hash_many, hash_rows
 from lodestone.functions.canonical import canonical_json
 from lodestone.functions.columns import col
 
@@ -112,22 +114,50 @@ def chain_sha256(events: DataFrame, scope: str, order: str, entry_hash: Column)
     return events.groupBy(col(scope)).agg(F.count("*").alias("n"), root.alias("log_root"))
 
 
-def chain(events: DataFrame, scope: str, algorithm: str = "blake3") -> DataFrame:
-    """(scope, seq, prev_root, entry_hash, chained_root) from (scope, seq, timestamp, event_type, payload)."""
+def _links(scope: str, algorithm: str):
+    """Rows by scope and seq, chained as they stream by. The chains of a batch grow in lockstep: step k hashes the k-th
+    entries of all scopes at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = object(), _ZERO
+        for b in batches:
+            if not b.num_rows:
+                continue
+            scopes = b.column(b.schema.get_field_index(scope)).to_pylist()
+            rows = zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("seq", "timestamp", "event_type", "payload")), strict=True)
+            entries = np.frombuffer(b"".join(_hashes([entry_bytes(int(s), float(t), k, json.loads(p)) for s, t, k, p in rows], algorithm)), np.uint8).reshape(-1, 32)
+            cuts = np.array([0, *(k for k in range(1, len(scopes)) if scopes[k] != scopes[k - 1]), len(scopes)])
+            before, after = np.zeros((len(scopes), 32), np.uint8), np.empty((len(scopes), 32), np.uint8)
+            begun = np.zeros(len(cuts) - 1, bool)
+            if scopes[0] == last:
+                before[0], begun[0] = np.frombuffer(carried, np.uint8), True
+            size = np.diff(cuts)
+            for k in range(int(size.max())):
+                at = cuts[:-1][size > k] + k
+                if k:
+                    before[at] = after[at - 1]
+                both = np.concatenate([before[at], entries[at]], 1)
+                after[at] = hash_rows(both) if algorithm == "blake3" else np.frombuffer(b"".join(_hashes([x.tobytes() for x in both], algorithm)), np.uint8).reshape(-1, 32)
+            last, carried = scopes[-1], after[-1].tobytes()
+            first = np.zeros(len(scopes), bool)
+            first[cuts[:-1][~begun]] = True
+            prev = ["" if f else x.tobytes().hex() for f, x in zip(first, before, strict=True)]
+            columns = [prev, [x.tobytes().hex() for x in entries], [x.tobytes().hex() for x in after]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.string()) for c in columns)], [*b.schema.names, "prev_root", "entry_hash", "chained_root"])
+
+    return run
+
+
+def chained(events: DataFrame, scope: str, algorithm: str = "blake3") -> DataFrame:
+    """``events`` (scope, seq, timestamp, event_type, payload, ...) with prev_root, entry_hash and chained_root. A scope is
+    chained by one task, batch by batch; no scope is ever held as a whole."""
+    schema = T.StructType([*events.schema.fields, *(T.StructField(c, T.StringType()) for c in ("prev_root", "entry_hash", "chained_root"))])
+    return events.repartition(col(scope)).sortWithinPartitions(col(scope), "seq").mapInArrow(_links(scope, algorithm), schema)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        hashes = _hashes([entry_bytes(int(r.seq), float(r.timestamp), r.event_type, json.loads(r.payload)) for r in frame.itertuples()], algorithm)
-        before, rows = "", []
-        for seq, h in zip(frame["seq"], hashes, strict=True):
-            chained = _hashes([(bytes.fromhex(before) if before else _ZERO) + h], algorithm)[0].hex()
-            rows.append((frame[scope].iloc[0], seq, before, h.hex(), chained))
-            before = chained
-        return pd.DataFrame(rows, columns=[scope, "seq", "prev_root", "entry_hash", "chained_root"])
 
-    kind = events.schema[scope]
-    schema = T.StructType([kind, T.StructField("seq", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("prev_root", "entry_hash", "chained_root"))])
-    return events.groupBy(scope).applyInPandas(run, schema)
+def chain(events: DataFrame, scope: str, algorithm: str = "blake3") -> DataFrame:
+    """(scope, seq, prev_root, entry_hash, chained_root) from (scope, seq, timestamp, event_type, payload)."""
+    return chained(events, scope, algorithm).select(col(scope), "seq", "prev_root", "entry_hash", "chained_root")
 
 
 @F.pandas_udf(T.StringType())

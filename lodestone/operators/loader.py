@@ -10,13 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.blake3 import blake3
 from lodestone.functions.columns import col, stored
 from lodestone.operators.prefix import row_numbers, running_sum
-from lodestone.operators.views import batches, token_batches
+from lodestone.operators.views import batches
 
 
 def seed(epoch_seed: int, rank: int, worker: int) -> int:
@@ -38,18 +39,97 @@ def rebatched(slotted: DataFrame, size: int, drop_last: bool = False) -> DataFra
     return cut.where(F.col("n") == size) if drop_last else cut
 
 
+def _cut(size: int):
+    """Pieces (at, tokens) of a stream to (out_batch, at, whole, tokens): pieces that follow each other become one array,
+    which is cut where batches end. Only what lies at the edges of a run isn't whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        first = end = 0
+
+        def flush(last: bool) -> pa.RecordBatch | None:
+            nonlocal held, first
+            stop = end if last else end // size * size
+            if stop <= first:
+                return None
+            tokens = np.concatenate(held)
+            cuts = np.unique(np.concatenate([[first], np.arange(-(-first // size) * size, stop, size), [stop]]))
+            held, tokens = ([tokens[stop - first :]] if stop < end else []), tokens[: stop - first]
+            number = cuts[:-1] // size
+            lists = pa.ListArray.from_arrays(pa.array((cuts - first).astype(np.int32)), pa.array(tokens.astype(np.int32, copy=False)))
+            columns = [pa.array(number), pa.array(cuts[:-1]), pa.array(np.diff(cuts) == size), lists]
+            first = stop
+            return pa.RecordBatch.from_arrays(columns, ["out_batch", "at", "whole", "tokens"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, lists = b.column("at").to_numpy(), b.column("tokens")
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+            n = np.diff(bounds)
+            breaks = (np.flatnonzero(at[1:] != at[:-1] + n[:-1]) + 1).tolist()
+            for low, high in zip([0, *breaks], [*breaks, len(at)], strict=True):
+                if not held or at[low] != end:
+                    if held and (done := flush(True)):
+                        yield done
+                    held, first, end = [], int(at[low]), int(at[low])
+                held.append(values[bounds[low] : bounds[high]])
+                end += int(bounds[high] - bounds[low])
+                if end - first >= 64 * size and (done := flush(False)):
+                    yield done
+        if held and (done := flush(True)):
+            yield done
+
+    return run
+
+
+def cut(pieces: DataFrame, size: int) -> DataFrame:
+    """(out_batch, tokens): a stream, given as pieces (at, tokens), in arrays of ``size`` (the last may be shorter). Where
+    pieces come in order only the ends of each task's run are shuffled."""
+    made = stored(pieces.select("at", "tokens").mapInArrow(_cut(size), "out_batch long, at long, whole boolean, tokens array<int>"), "cut")
+    edges = made.where("NOT whole").groupBy("out_batch").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+    return made.where("whole").select("out_batch", "tokens").unionByName(edges)
+
+
+def _own(size: int, slot: int, n_slots: int):
+    """What of each document the slot takes: its batches, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            first, lists = b.column("_first").to_numpy(), b.column("tokens")
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            n = np.diff(lists.offsets.to_numpy())
+            start = np.concatenate([[0], np.cumsum(n)])
+            place = np.arange(start[-1]) - np.repeat(start[:-1], n)
+            mine = (np.repeat(first, n) + place // size) % n_slots == slot
+            counts = np.concatenate([[0], np.cumsum(mine)])[start]
+            some = np.diff(counts) > 0
+            taken = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], counts[1:][some]]).astype(np.int32)), pa.array(values[mine]))
+            yield pa.RecordBatch.from_arrays([b.column("at").filter(pa.array(some)), taken], ["at", "tokens"])
+
+    return run
+
+
 def load(view: DataFrame, order: list[str], size: int = 1024, rank: int = 0, world: int = 1, worker: int = 0, workers: int = 1, shuffle: bool = False, epoch_seed: int = 0, drop_last: bool = False) -> DataFrame:
-    """(out_batch, tokens): what one slot hands out. Without shuffling the batches are made by a join on positions and
-    may be made anywhere; a shuffled slot uses one random generator over all of its batches in turn, so it is one task."""
-    numbered = slots(view.drop("tokens"), order, size, world, workers).where(F.col("slot") == rank * workers + worker)
-    placed = running_sum(numbered.select(*(col(c) for c in order), "batch", "n", "index"), ["index"], "n", "at")
-    parts = token_batches(view, size).select(*(col(c) for c in order), "batch", "tokens").join(placed, [*order, "batch"])
-    # a batch of the stream reaches into two batches of full size at most
-    split = parts.withColumn("out_batch", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size))))
-    low = F.greatest(F.col("out_batch") * size - F.col("at"), F.lit(0))
-    high = F.least((F.col("out_batch") + 1) * size - F.col("at"), F.col("n"))
-    pieces = split.select("out_batch", "at", F.slice("tokens", (low + 1).cast("int"), (high - low).cast("int")).alias("tokens"))
-    joined = pieces.groupBy("out_batch").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+    """(out_batch, tokens): what one slot hands out. ``view`` (order..., token_count, tokens) is computed once. Two running
+    sums over its counts say which batches of each document are the slot's and where they stand in its stream; the stream
+    is then cut where the documents are. A shuffled slot uses one random generator over all of its batches in turn, so
+    it is one task."""
+    view = stored(view.where("token_count > 0").select(*(col(c) for c in order), "token_count", "tokens"), "view")
+    n_slots, slot = world * workers, rank * workers + worker
+    parts = F.floor((F.col("token_count") + (size - 1)) / size)
+    placed = running_sum(view.select(*(col(c) for c in order), "token_count", parts.alias("_parts")), order, "_parts", "_first")
+    # the slot's are the batches j of _parts with (_first + j) % n_slots = slot
+    skip = F.pmod(F.lit(slot) - F.col("_first"), F.lit(n_slots))
+    taken = F.when(F.col("_parts") > skip, F.floor((F.col("_parts") - 1 - skip) / n_slots) + 1).otherwise(0)
+    short = F.when(F.pmod(F.col("_first") + F.col("_parts") - 1, F.lit(n_slots)) == slot, F.col("_parts") * size - F.col("token_count")).otherwise(0)
+    counted = placed.select(*(col(c) for c in order), "_first", (taken * size - short).cast("long").alias("_mine"))
+    at = running_sum(counted, order, "_mine", "at").where("_mine > 0").drop("_mine")
+    own = view.join(at, order).sortWithinPartitions("at").select("_first", "at", "tokens").mapInArrow(_own(size, slot, n_slots), "at long, tokens array<int>")
+    joined = cut(own, size)
     if drop_last:
         joined = joined.where(F.size("tokens") == size)
     if not shuffle:
@@ -69,13 +149,27 @@ def load(view: DataFrame, order: list[str], size: int = 1024, rank: int = 0, wor
     return joined.repartition(1).sortWithinPartitions("out_batch").mapInPandas(permute, "out_batch long, tokens array<int>")
 
 
-def by_document(docs: DataFrame, order: list[str], rank: int = 0, world: int = 1, worker: int = 0, workers: int = 1, shuffle_seed: int | None = None) -> DataFrame:
+def permutation(n: int, seed: int) -> np.ndarray:
+    """Which document comes at each place in an epoch of one generator: the order that a shuffled list of n would have."""
+    order = np.arange(n)
+    np.random.default_rng(seed).shuffle(order)
+    return order
+
+
+def by_document(docs: DataFrame, order: list[str], rank: int = 0, world: int = 1, worker: int = 0, workers: int = 1, shuffle_seed: int | None = None, listed: bool = False) -> DataFrame:
     """The documents of one slot, whole: those whose number in the dataset, modulo the slots, is the slot's. With a seed
-    the numbers follow a hash of seed and order, the same for all ranks."""
-    if shuffle_seed is not None:
+    the numbers follow a hash of seed and order, the same for all ranks; ``listed`` takes the order of ``permutation``
+    instead, which the driver has to hold (8 bytes a document)."""
+    if shuffle_seed is not None and not listed:
         docs = docs.withColumn("_key", F.xxhash64(F.lit(shuffle_seed), *(col(c) for c in order)))
         order = ["_key", *order]
     numbered = row_numbers(docs, order, "number")
+    if shuffle_seed is not None and listed:
+        spark = docs.sparkSession
+        places = permutation(numbered.count(), shuffle_seed)
+        mine = np.arange(rank * workers + worker, len(places), world * workers)
+        chosen = spark.createDataFrame(pd.DataFrame({"_was": places[mine], "_now": mine}), "_was long, _now long")
+        return numbered.join(chosen, numbered["number"] == chosen["_was"]).drop("number", "_was").withColumnRenamed("_now", "number")
     return numbered.where(F.pmod("number", F.lit(world * workers)) == rank * workers + worker).drop("_key")
 
 

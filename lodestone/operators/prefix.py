@@ -5,22 +5,44 @@ Rows are partitioned by ranges of the order; the sums of the partitions (one row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.columns import col, stored
 
 
+def _within(value: str):
+    """Sums before each row of the task's part, and the number of the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, base = TaskContext.get().partitionId(), 0
+        for b in batches:
+            v = b.column(b.schema.get_field_index(value)).cast(pa.int64()).fill_null(0).to_numpy()
+            sums = np.cumsum(v)
+            names = [*b.schema.names, "_before", "_value", "_part"]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base + sums - v), pa.array(v), pa.array(np.full(len(v), part, np.int32))], names)
+            base += int(sums[-1]) if len(v) else 0
+
+    return run
+
+
 def running_sum(df: DataFrame, order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over all rows before this one (0 for the first). Nulls count as 0."""
+    """``df`` with ``out``: the sum of ``value`` over all rows before this one (0 for the first). Nulls count as 0. One
+    shuffle by ranges, in which the sums within a range are taken; one row a range is then added up and handed back."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(df.repartitionByRange(n, *(col(c) for c in order)).withColumn("_part", F.spark_partition_id()), "ranges")
-    sums = ranged.groupBy("_part").agg(F.coalesce(F.sum(col(value)), F.lit(0)).cast("long").alias("_sum"))
-    # one row for each partition: a window over them is small
+    schema = T.StructType([*df.schema.fields, T.StructField("_before", T.LongType()), T.StructField("_value", T.LongType()), T.StructField("_part", T.IntegerType())])
+    by = [col(c) for c in order]
+    ranged = stored(df.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_within(value), schema), "ranges")
+    sums = ranged.groupBy("_part").agg(F.sum("_value").alias("_sum"))
+    # one row for each range: a window over them is small
     base = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_base"))
-    w = Window.partitionBy("_part").orderBy(*(col(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
-    within = F.coalesce(F.sum(F.coalesce(col(value), F.lit(0))).over(w), F.lit(0)).cast("long")
-    return ranged.withColumn(out, within).join(F.broadcast(base), "_part").withColumn(out, F.col(out) + F.col("_base")).drop("_part", "_base")
+    return ranged.join(F.broadcast(base), "_part").withColumn(out, F.col("_before") + F.col("_base")).drop("_part", "_before", "_value", "_base")
 
 
 def row_numbers(df: DataFrame, order: list[str], out: str, partitions: int | None = None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +52,62 @@ def all_tokens(view: DataFrame, offset: str = "token_offset") -> DataFrame:
     return view.select(col(offset), F.posexplode("tokens").alias("i", "token")).select((col(offset) + F.col("i")).alias("position"), "token")
 
 
+def _sums(size: int):
+    """n, sum and sum weighted by position of the tokens in each chunk, from documents with offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("tokens")
+            n = np.diff(lists.offsets.to_numpy())
+            if not n.sum():
+                continue
+            values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            begin = np.cumsum(n) - n
+            position = np.arange(len(values)) + np.repeat(b.column("token_offset").to_numpy() - begin, n)
+            chunk = position // size
+            # stretches of one chunk are summed at once
+            cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            sums = [np.add.reduceat(v, cuts) for v in (values, values * (position - chunk * size))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk[cuts], np.diff(np.append(cuts, len(values))), *sums)], ["chunk_id", "n", "token_sum", "weighted"])
+
+    return run
+
+
+def chunk_sums(view: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(chunk_id, n, token_sum, weighted): the whole stream of a view with offsets, read once and summed up where it is;
+    weighted takes each token times its place in the chunk."""
+    parts = view.select("token_offset", "tokens").mapInArrow(_sums(size), "chunk_id long, n long, token_sum long, weighted long")
+    return parts.groupBy("chunk_id").agg(*(F.sum(c).alias(c) for c in ("n", "token_sum", "weighted")))
+
+
+def _packed(target: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block, used = None, 0, 0
+        for b in batches:
+            shard, size = b.column("shard").to_pylist(), b.column("size").to_numpy()
+            blocks, offsets = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+            for k, (s, n) in enumerate(zip(shard, size.tolist(), strict=True)):
+                if s != at:
+                    at, block, used = s, 0, 0
+                blocks[k], offsets[k] = block, used
+                used += n
+                if used >= target:
+                    block, used = block + 1, 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks), pa.array(offsets)], [*b.schema.names, "block", "in_block_offset"])
+
+    return run
+
+
+def block_layout(docs: DataFrame, order: str, size: str, shard: Column | None = None, target: int = 8 << 20, header: int = 40) -> DataFrame:
+    """(shard, order, size, block, in_block_offset): documents of a shard in blocks of bytes. Each takes ``header`` bytes and its
+    own; a block is closed by the document that brings it to ``target``, and the next begins at 0. That is a fold, not a
+    sum, so a shard is one task, over 16 bytes a document that stream by."""
+    narrow = docs.select((F.lit(0) if shard is None else shard).alias("shard"), col(order).alias("ord"), (col(size) + header).cast("long").alias("size"))
+    kind = narrow.schema["shard"].dataType.simpleString(), narrow.schema["ord"].dataType.simpleString()
+    placed = narrow.repartition("shard").sortWithinPartitions("shard", "ord").mapInArrow(_packed(target), f"shard {kind[0]}, ord {kind[1]}, size long, block long, in_block_offset long")
+    return placed.select("shard", F.col("ord").alias(order), (F.col("size") - header).alias("size"), "block", "in_block_offset")
+
+
 def locate(offsets: DataFrame, placed: DataFrame, bucket: int = CHUNK) -> DataFrame:
     """The document that holds each token offset. The range join is an equi-join on buckets of the stream: a document
     is listed in the buckets that it reaches into."""

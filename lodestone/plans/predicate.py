@@ -19,8 +19,10 @@ A column that doesn't exist is null everywhere. NOT binds to one factor only.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -302,9 +304,19 @@ def compile_column(predicate: str | Node, schema: T.StructType) -> Column:
     return F.coalesce(compile_filter(predicate, schema), F.lit(False))
 
 
-def where(df: DataFrame, predicate: str | Node) -> DataFrame:
-    """The rows of ``df`` for which the predicate holds."""
-    return df.where(compile_filter(predicate, df.schema))
+def where(df: DataFrame, predicate: str | Node | Callable[[dict], bool], columns: list[str] | None = None) -> DataFrame:
+    """The rows of ``df`` for which the predicate holds. A function is called with each row as a dictionary of ``columns``
+    (all, if none are named), in Python: a predicate of the language is much faster, and scans can take it."""
+    if not callable(predicate):
+        return df.where(compile_filter(predicate, df.schema))
+    names = df.columns if columns is None else columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [bool(predicate(row)) for row in b.select(names).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def evaluate(node: Node, row: dict) -> bool:

@@ -178,6 +178,120 @@ def append_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames[0].unionByName(frames[1]).groupBy("tokenizer_id").agg(F.sum("token_count").alias("total_tokens"))
 
 
+#: Corpora that queries read, by session and folder: written once, as a corpus is.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("text").alias("content"), "doc_id", "lang", "source", "n_chars", F.col("doc_id").alias("source_ord"))
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    key = (spark.sparkContext.applicationId, sf_dir, "corpus")
+    if key not in _WRITTEN:
+        _WRITTEN[key] = Corpus.create(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", _source(spark, sf_dir), [ByteTokenizer()], clock=lambda: 0.0, snapshot_id="0").path
+    return Corpus(spark, _WRITTEN[key], "none")
+
+
+def _dataset(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Two shards, of even and odd ids; the second has another view, too. Toxic documents are excluded."""
+    key = (spark.sparkContext.applicationId, sf_dir, "dataset")
+    if key not in _WRITTEN:
+        data = Dataset.create(spark, f"{shared_dir(spark)}/dataset-{uuid.uuid4().hex}")
+        for k, tokenizers in enumerate(([ByteTokenizer()], [ByteTokenizer(), WhitespaceTokenizer()])):
+            Corpus.create(spark, data.shard_path(f"s{k}"), _source(spark, sf_dir).where(F.pmod("doc_id", F.lit(2)) == k), tokenizers, clock=lambda: 0.0, snapshot_id=str(k))
+            data.register(f"s{k}")
+        toxic = where(table(spark, sf_dir, "labels"), "toxic = 1").select("doc_id")
+        hashes = table(spark, sf_dir, "documents").join(toxic, "doc_id", "left_semi").select(content_hash(F.col("text"))).distinct()
+        data.exclude_all([bytes(r[0]) for r in hashes.collect()])
+        _WRITTEN[key] = data.path
+    return Dataset(spark, _WRITTEN[key])
+
+
+_FIRST = "(SELECT * FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text))"
+
+
+@query(f"SELECT doc_id, lang, n_chars FROM {_FIRST} t WHERE lang = 'en' AND n_chars >= 500 OR source = 'src3'")
+def corpus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).filter("lang = 'en' AND n_chars >= 500 OR source = 'src3'").select("doc_id", "lang", "n_chars")
+
+
+@query(f"SELECT doc_id, lang FROM {_FIRST} t WHERE doc_id % 3 = 0 AND (lang = 'fr' OR lang = 'de')")
+def corpus_filter_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark, sf_dir).filter(lambda row: row["doc_id"] % 3 == 0 and row["lang"] in ("fr", "de")).select("doc_id", "lang")
+
+
+@query("SELECT text, true AS is_there, false AS other_is_there FROM documents ORDER BY doc_id LIMIT 1")
+def corpus_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document by its hash, and whether two hashes are there."""
+    corpus = _corpus(spark, sf_dir)
+    wanted = bytes(table(spark, sf_dir, "documents").orderBy("doc_id").limit(1).select(content_hash(F.col("text"))).first()[0])
+    return spark.createDataFrame([(corpus.get(wanted).decode(), corpus.has(wanted), corpus.has(wanted[::-1]))], "text string, is_there boolean, other_is_there boolean")
+
+
+@query(f"SELECT 'documents' AS section, NULL::VARCHAR AS value, count(*) AS n FROM {_FIRST} t UNION ALL SELECT 'lang', lang, count(*) FROM {_FIRST} t WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT 'tokens', 'byte-level-v1', sum(octet_length(encode(text)))::BIGINT FROM {_FIRST} t")
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the root, which SQL can't compute."""
+    return _corpus(spark, sf_dir).summary(["lang"]).where("section != 'smt_root'")
+
+
+@query(f"SELECT chunk_id, sum(least(token_offset + token_count, (chunk_id + 1) * 65536) - greatest(token_offset, chunk_id * 65536))::BIGINT AS num_tokens, 16 AS bits FROM (SELECT *, unnest(range(token_offset // 65536, (token_offset + token_count - 1) // 65536 + 1)) AS chunk_id FROM {PLACED}) GROUP BY chunk_id")
+def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as they were recorded with the view; their hashes are checked when a corpus is opened in full."""
+    corpus = _corpus(spark, sf_dir)
+    return spark.read.parquet(f"{corpus.path}/chunks/tokenizer_id=byte-level-v1").select("chunk_id", "num_tokens", "bits")
+
+
+@query(f"SELECT doc_id, text, lang, sha256(text) AS hash FROM {_FIRST} t")
+def jsonl_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    sinks.to_jsonl(_corpus(spark, sf_dir).documents(), path, content="body")
+    return readers.jsonl(spark, path, "body").select("doc_id", F.col("content").alias("text"), "lang", hex_of(content_hash(F.col("content"), "sha256")).alias("hash"))
+
+
+@query(f"SELECT doc_id, text, source FROM {_FIRST} t")
+def parquet_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    sinks.to_parquet(_corpus(spark, sf_dir).documents(), path, hashes=False)
+    return readers.parquet(spark, path, "text", ["doc_id", "source"]).select("doc_id", F.col("content").alias("text"), "source")
+
+
+@query(f"SELECT doc_id, text, octet_length(encode(text))::BIGINT AS n_tokens FROM {_FIRST} t")
+def tokens_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their tokens, in step."""
+    corpus = _corpus(spark, sf_dir)
+    return sinks.table(corpus.documents(), corpus.view("byte-level-v1")).select("doc_id", "text", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@query("SELECT item_id AS id, text, item_id - (SELECT min(item_id) FROM benchmark) AS place FROM benchmark")
+def records_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the driver's memory as a source: the passages of the benchmark are some hundreds at any size."""
+    rows = [r.asDict() for r in table(spark, sf_dir, "benchmark").orderBy("item_id").collect()]
+    return readers.records(spark, rows, metadata="*").select(F.col("item_id").alias("id"), lossy_text(F.col("content")).alias("text"), F.col("source_ord").alias("place"))
+
+
+_TOXIC = "(SELECT DISTINCT sha256(text) AS hash FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)"
+_SHARDED = f"(SELECT 's' || (doc_id % 2) AS shard_id, min(doc_id) AS doc_id, octet_length(encode(text))::BIGINT AS n, text FROM documents WHERE sha256(text) NOT IN (SELECT hash FROM {_TOXIC}) GROUP BY doc_id % 2, text)"
+
+
+@query(f"SELECT shard_id, doc_id, n FROM {_SHARDED} t")
+def dataset_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dataset(spark, sf_dir).documents().select("shard_id", "doc_id", F.col("content_size").alias("n"))
+
+
+@query(f"SELECT shard_id, count(*) AS batches, sum(n)::BIGINT AS tokens FROM (SELECT shard_id, unnest(range(0, (n + 1023) // 1024)) AS b, least(1024, n - b * 1024) AS n FROM {_SHARDED} WHERE n > 0) GROUP BY shard_id")
+def dataset_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of a view over all shards, without excluded documents."""
+    return _dataset(spark, sf_dir).stream("byte-level-v1", 1024).groupBy("shard_id").agg(F.count("*").alias("batches"), F.sum(F.size("tokens")).alias("tokens"))
+
+
+@query(f"SELECT shard_id, count(*) AS documents, sum(len(regexp_extract_all(text, '[ \t\n\r\f\v]+|[^ \t\n\r\f\v]+')))::BIGINT AS tokens FROM {_SHARDED} t WHERE shard_id = 's1' AND n > 0 GROUP BY 1")
+def dataset_view_of_some_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards that lack the view aren't read."""
+    view = _dataset(spark, sf_dir).view("whitespace-hashed-v1")
+    return view.groupBy("shard_id").agg(F.count("*").alias("documents"), F.sum("token_count").alias("tokens"))
+
+
 @query(f"SELECT doc_id, text FROM {UNIQUE} t")
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as a stream of files; every batch is deduplicated against what is there."""
@@ -190,7 +304,7 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, text, lang, source FROM documents")
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").write.option("compression", "gzip").json(path)
+    table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").repartition("doc_id").write.option("compression", "gzip").json(path)
     return readers.jsonl(spark, path, "text", "doc_id long, text string, lang string, source string").select("doc_id", F.col("content").alias("text"), "lang", "source")
 
 
@@ -278,10 +392,9 @@ def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT (token_offset + i) // 65536 AS chunk_id, count(*) AS n, sum(('0x' || h)::INTEGER)::BIGINT AS token_sum, sum((token_offset + i) % 65536 * ('0x' || h)::INTEGER)::BIGINT AS weighted FROM {BYTES} b JOIN {PLACED} p USING (doc_id) GROUP BY 1")
 def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole stream of a view, position by position, summed up for each chunk."""
-    tokens = unique(spark, sf_dir).select("doc_id", ByteTokenizer().tokens(F.col("text")).alias("tokens"))
-    placed = views.source_map(tokens.withColumn("token_count", F.size("tokens").cast("long")), ["doc_id"])
-    every = views.all_tokens(placed)
-    return every.groupBy(F.floor(F.col("position") / 65536).alias("chunk_id")).agg(F.count("*").alias("n"), F.sum("token").alias("token_sum"), F.sum(F.col("token") * F.pmod("position", F.lit(65536))).alias("weighted"))
+    placed = views.source_map(counts(spark, sf_dir), ["doc_id"])
+    docs = unique(spark, sf_dir).join(placed, "doc_id")
+    return views.chunk_sums(docs.select("token_offset", ByteTokenizer().tokens(F.col("text")).alias("tokens")))
 
 
 @query(f"SELECT (idx % 4)::INTEGER AS slot, count(*) AS batches, sum(n)::BIGINT AS tokens FROM {batched(1024)} t GROUP BY 1")
@@ -312,7 +425,8 @@ def loader_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the second of two ranks is given."""
     view = unique(spark, sf_dir).select("doc_id", ByteTokenizer().tokens(F.col("text")).alias("tokens"))
     got = loader.load(view.withColumn("token_count", F.size("tokens").cast("long")), ["doc_id"], 1024, rank=1, world=2)
-    return got.select("out_batch", F.size("tokens").cast("long").alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("token_sum"))
+    sums = views.chunk_sums(got.select((F.col("out_batch") * 1024).alias("token_offset"), "tokens"), 1024)
+    return sums.select(F.col("chunk_id").alias("out_batch"), "n", "token_sum")
 
 
 @query()
@@ -439,7 +553,7 @@ def _excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(toxic, "doc_id", "left_semi").select(sha().alias("hash"))
 
 
-_EXCLUDED = "(SELECT DISTINCT sha256(text) AS hash FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)"
+_EXCLUDED = _TOXIC
 
 
 @query(f"SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT hash FROM {_EXCLUDED})")
@@ -563,6 +677,31 @@ def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_root_frame(_hashed(spark, sf_dir))
 
 
+@query("""
+    WITH RECURSIVE t AS (
+        SELECT row_number() OVER (ORDER BY h) - 1 AS i, sha256(unhex('00' || h)) AS h, count(*) OVER () AS n FROM (SELECT DISTINCT sha256(text) AS h FROM documents)
+        UNION ALL
+        SELECT i // 2, sha256(unhex('01' || h || coalesce(after, h))), (n + 1) // 2 FROM (SELECT *, lead(h) OVER (ORDER BY i) AS after FROM t WHERE n > 1) WHERE i % 2 = 0
+    ) SELECT h AS root FROM t WHERE n = 1
+""")
+def merkle_root_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashes = table(spark, sf_dir, "documents").select(content_hash(F.col("text"), "sha256").alias("doc_hash")).distinct()
+    return spark.createDataFrame([(merkle.merkle_root(hashes, algorithm="sha256").hex(),)], "root string")
+
+
+@query(f"""
+    WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(text))::BIGINT AS size, row_number() OVER (ORDER BY doc_id) AS k FROM {UNIQUE}),
+    t AS (
+        SELECT k, doc_id, size, 0::BIGINT AS block, 0::BIGINT AS in_block_offset FROM d WHERE k = 1
+        UNION ALL
+        SELECT d.k, d.doc_id, d.size, t.block + (t.in_block_offset + t.size + 40 >= 65536)::BIGINT, CASE WHEN t.in_block_offset + t.size + 40 >= 65536 THEN 0 ELSE t.in_block_offset + t.size + 40 END FROM t JOIN d ON d.k = t.k + 1
+    ) SELECT doc_id, size, block, in_block_offset FROM t
+""")
+def block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct documents in blocks of bytes."""
+    return views.block_layout(counts(spark, sf_dir), "doc_id", "token_count", target=65_536).drop("shard")
+
+
 @query()
 def smt_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(smt.smt_root(_hashed(spark, sf_dir)).hex(),)], "root string")

@@ -6,19 +6,23 @@ A corpus (one shard) has ``documents`` (order, hash, content, metadata), ``token
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.errors import DuplicateViewError, ExcludedError, IntegrityError, ShardChangedError, UnsupportedVersionError
-from lodestone.functions.blake3 import blake3, content_hash
+from lodestone.functions.blake3 import blake3, content_hash, hash_flat
 from lodestone.functions.canonical import canonical_json, hex_of
+from lodestone.functions.arrow import fixed
 from lodestone.functions.columns import col, stored
-from lodestone.functions.tokenizers import TOKENS, Tokenizer, check_range, check_test_vector, from_config, test_vector
-from lodestone.operators import audit, overlay, smt, views
+from lodestone.functions.tokenizers import TOKENS, Tokenizer, check_range, check_test_vector, from_config, test_vector, token_bits
+from lodestone.operators import audit, loader, overlay, report, smt, views
 from lodestone.operators.dedup import first_of_each
 from lodestone.operators.merkle import merkle_root
 from lodestone.operators.mixture import Subset
@@ -27,6 +31,8 @@ from lodestone.plans.predicate import where
 from lodestone.sources import files
 
 FORMAT, READABLE = [1, 4], (1, 2, 3, 4)
+#: Documents whose log entries make one chain; chains are as many tasks as the cluster has room for.
+AUDIT_BLOCK = 1024
 _OWN = ("doc_ord", "doc_hash", "content", "content_size")
 
 
@@ -50,6 +56,22 @@ def tokenize(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return views.source_map(tokens.withColumn("token_count", F.size("tokens").cast("long")), ["doc_ord"])
 
 
+def chunk_records(view: DataFrame, vocab_size: int, size: int = views.CHUNK) -> DataFrame:
+    """(chunk_id, num_tokens, bits, chunk_hash) of a view: the stream in chunks of ``size`` tokens, each hashed as unsigned
+    numbers of ``bits`` bits, least byte first."""
+    bits = token_bits(vocab_size)
+    kind = "<u2" if bits == 16 else "<u4"
+
+    @F.arrow_udf("binary")
+    def hashed(tokens: pa.Array) -> pa.Array:
+        values = tokens.flatten().to_numpy(zero_copy_only=False).astype(kind)
+        bounds = np.concatenate([[0], np.cumsum(np.diff(tokens.offsets.to_numpy()))]) * (bits // 8)
+        return fixed(hash_flat(values.view(np.uint8), bounds), tokens)
+
+    whole = loader.cut(view.select(F.col("token_offset").alias("at"), "tokens"), size)
+    return whole.select(F.col("out_batch").alias("chunk_id"), F.size("tokens").cast("long").alias("num_tokens"), F.lit(bits).alias("bits"), hashed("tokens").alias("chunk_hash"))
+
+
 class Corpus:
     """One shard. ``create`` makes it, ``Corpus(spark, path)`` opens it."""
 
@@ -64,7 +86,12 @@ class Corpus:
             raise IntegrityError(f"{bad[0][0]}: {bad[0][2]}")
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, rows: DataFrame, tokenizers: list[Tokenizer] | None = None, subsets: list[Subset] | None = None, order: str = "source_ord", clock: Callable[[], float] = time.time, snapshot_id: str | None = None, secret: bytes | None = None) -> Corpus:
+    def create(cls, spark: SparkSession, path: str, rows: DataFrame, tokenizers: list[Tokenizer] | None = None, subsets: list[Subset] | None = None, order: str = "source_ord", clock: Callable[[], float] | None = None, snapshot_id: str | None = None, secret: bytes | None = None) -> Corpus:
+        """``clock`` and ``snapshot_id`` make the result reproducible; where they aren't given, the environment's
+        LODESTONE_TIME (seconds) and LODESTONE_SNAPSHOT_ID do."""
+        fixed = os.environ.get("LODESTONE_TIME")
+        clock = clock or (time.time if fixed is None else lambda: float(fixed))
+        snapshot_id = snapshot_id or os.environ.get("LODESTONE_SNAPSHOT_ID")
         path = path.rstrip("/")
         ingest(rows, order).write.option("compression", "zstd").parquet(f"{path}/documents")
         docs = spark.read.parquet(f"{path}/documents")
@@ -75,24 +102,30 @@ class Corpus:
         count = docs.count()
         roots = {"merkle_root": merkle_root(docs).hex(), "smt_root": smt.smt_root(docs).hex()}
         log = audit.AuditLog(clock=clock)
-        # one entry for each document in a table of its own, chained by a task; its end is an entry of the log
+        # one entry for each document in a table of its own, chained in blocks; the root of their ends is an entry of the log
         at = clock()
         payload = F.to_json(F.struct(hex_of(F.col("doc_hash")).alias("doc_hash"), F.col("content_size").alias("size")))
-        events = docs.select(F.lit("documents").alias("scope"), F.col("doc_ord").alias("seq"), F.lit(float(at)).alias("timestamp"), F.lit("ingestion").alias("event_type"), payload.alias("payload"))
-        chained = audit.chain(events, "scope")
-        events.join(chained, ["scope", "seq"]).write.parquet(f"{path}/audit")
-        last = spark.read.parquet(f"{path}/audit").orderBy(F.desc("seq")).select("chained_root").first()
-        entries = [("ingestion", {"documents": count, "log_root": last[0] if last else ""}), *(("tokenizer_added", {"tokenizer_id": v["tokenizer_id"], "total_tokens": v["total_tokens"]}) for v in made)]
+        events = docs.select(F.floor(F.col("doc_ord") / AUDIT_BLOCK).alias("scope"), F.pmod("doc_ord", F.lit(AUDIT_BLOCK)).alias("seq"), F.lit(float(at)).alias("timestamp"), F.lit("ingestion").alias("event_type"), payload.alias("payload"))
+        audit.chained(events, "scope").write.option("compression", "zstd").parquet(f"{path}/audit")
+        entries = [("ingestion", {"documents": count, "log_root": cls._log_root(spark.read.parquet(f"{path}/audit"))}), *(("tokenizer_added", {"tokenizer_id": v["tokenizer_id"], "total_tokens": v["total_tokens"]}) for v in made)]
         snapshot = snapshot_id or uuid.uuid4().hex
         log.extend([*entries, ("version_snapshot", {"snapshot_id": snapshot, **roots})], secret)
         manifest = {"format": FORMAT, "flags": 0, "snapshot_id": snapshot, "created_at": at, "documents": count, **roots, "views": made, "subsets": [vars(s) for s in subsets or []]}
         cls._commit(spark, path, manifest, log)
         return cls(spark, path, verify="none")
 
+    @staticmethod
+    def _log_root(log: DataFrame) -> str:
+        """The Merkle root over the last links of all blocks."""
+        ends = log.groupBy("scope").agg(F.max_by("chained_root", "seq").alias("end"))
+        return merkle_root(ends.select(F.unhex("end").alias("end")), "end").hex()
+
     @staticmethod
     def _write_view(path: str, docs: DataFrame, tokenizer: Tokenizer) -> dict:
         target = f"{path}/tokens/tokenizer_id={tokenizer.tokenizer_id}"
         tokenize(docs, tokenizer).write.option("compression", "zstd").parquet(target)
+        view = docs.sparkSession.read.parquet(target)
+        chunk_records(view, tokenizer.vocab_size).write.option("compression", "zstd").parquet(f"{path}/chunks/tokenizer_id={tokenizer.tokenizer_id}")
         total = views.total(docs.sparkSession.read.parquet(target)).first()[0]
         return {"tokenizer_id": tokenizer.tokenizer_id, "vocab_size": tokenizer.vocab_size, "config": canonical_json(tokenizer.config()), "config_hash": tokenizer.config_hash().hex(), "total_tokens": total, "test_vector": test_vector(docs, tokenizer)}
 
@@ -109,9 +142,11 @@ class Corpus:
     def metadata(self) -> DataFrame:
         return self.documents().drop("content", "content_size")
 
-    def filter(self, predicate: str) -> DataFrame:
-        """The documents for which a predicate holds; the scan takes what it can of it."""
-        return where(self.documents(), predicate)
+    def filter(self, predicate: str | Callable[[dict], bool]) -> DataFrame:
+        """The documents for which a predicate holds; the scan takes what it can of it. A function sees the metadata of each
+        document as a dictionary."""
+        docs = self.documents()
+        return where(docs, predicate, [c for c in docs.columns if c not in _OWN] if callable(predicate) else None)
 
     def get(self, doc_hash: bytes) -> bytes:
         row = self.documents().where(F.col("doc_hash") == F.lit(bytearray(doc_hash))).select("content", "content_size").first()
@@ -186,6 +221,10 @@ class Corpus:
             out.append((f"configuration of {name}", tokenizer.config_hash().hex() == v["config_hash"], v["config_hash"]))
             out.append((f"test vector of {name}", check_test_vector(docs, v["test_vector"], tokenizer), v["test_vector"]["digest"]))
             if full:
+                kept = self.spark.read.parquet(f"{self.path}/chunks/tokenizer_id={name}")
+                made = chunk_records(view, v["vocab_size"])
+                wrong = kept.exceptAll(made).unionByName(made.exceptAll(kept))
+                out.append((f"chunks of {name}", wrong.isEmpty(), "hash, size and width of each"))
                 out.append((f"range of {name}", view.where(~views.in_range(F.col("tokens"), v["vocab_size"]) | (F.size("tokens") != F.col("token_count"))).isEmpty(), str(v["vocab_size"])))
                 out.append((f"offsets of {name}", views.gaps(view.select("token_offset", "token_count")).isEmpty(), "contiguous"))
         if full:
@@ -193,7 +232,9 @@ class Corpus:
             out.append(("distinct documents", docs.select("doc_hash").distinct().count() == m["documents"], "all"))
             out.append(("merkle root", merkle_root(docs).hex() == m["merkle_root"], m["merkle_root"]))
             out.append(("smt root", smt.smt_root(docs).hex() == m["smt_root"], m["smt_root"]))
-            out.append(("audit chain", audit.broken_links(self.spark.read.parquet(f"{self.path}/audit"), "scope").isEmpty(), "documents"))
+            log, first = self.spark.read.parquet(f"{self.path}/audit"), next((e for e in self.audit_log().events if e.event_type == "ingestion"), None)
+            out.append(("audit chain", audit.broken_links(log, "scope").isEmpty(), "documents"))
+            out.append(("audit root", first is not None and self._log_root(log) == first.payload["log_root"], "documents"))
         return out
 
     def verify(self, full: bool = True) -> DataFrame:
@@ -209,6 +250,12 @@ class Corpus:
         parts = [("documents", files.length(self.spark, f"{self.path}/documents")), ("audit", files.length(self.spark, f"{self.path}/audit")), *((f"view {v}", files.length(self.spark, f"{self.path}/tokens/tokenizer_id={v}")) for v in self.views()), ("manifest", files.length(self.spark, f"{self.path}/manifest.json"))]
         return self.spark.createDataFrame([*parts, ("total", sum(n for _, n in parts))], "region string, bytes long")
 
+    def summary(self, columns: list[str]) -> DataFrame:
+        """(section, value, n): the documents, the distributions of some columns, the tokens of each view, and the root."""
+        m, spark = self.manifest, self.spark
+        more = [*(("tokens", v["tokenizer_id"], v["total_tokens"]) for v in m["views"]), ("smt_root", m["smt_root"], None)]
+        return report.summary(self.documents(), columns).unionByName(spark.createDataFrame(more, "section string, value string, n long"))
+
     def manifest_hash(self) -> bytes:
         return blake3(canonical_json(self.manifest).encode())
 
@@ -277,11 +324,17 @@ class Dataset:
         self._save()
 
     def exclude(self, doc_hash: bytes, reason: str = "") -> None:
-        if len(doc_hash) != 32:
+        self.exclude_all([doc_hash], reason)
+
+    def exclude_all(self, doc_hashes: list[bytes], reason: str = "") -> None:
+        """Many exclusions are one change of the manifest."""
+        if any(len(h) != 32 for h in doc_hashes):
             raise ValueError("a hash has 32 bytes")
-        if doc_hash.hex() not in self.manifest["exclusions"]:
-            self.manifest["exclusions"] = sorted([*self.manifest["exclusions"], doc_hash.hex()])
-            self.manifest.setdefault("reasons", {})[doc_hash.hex()] = reason
+        known = set(self.manifest["exclusions"])
+        new = {h.hex() for h in doc_hashes} - known
+        if new:
+            self.manifest["exclusions"] = sorted(known | new)
+            self.manifest.setdefault("reasons", {}).update(dict.fromkeys(new, reason))
             self._save()
 
     def shards(self) -> list[overlay.Shard]:

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions.blake3 import content_hash
-from lodestone.functions.columns import col
-from lodestone.operators.dedup import first_of_each
+from lodestone.functions.columns import col, stored
+from lodestone.operators.dedup import BROADCAST_ROWS, first_of_each
 from lodestone.sources import files
 
 
@@ -23,7 +23,13 @@ def new_documents(batch: DataFrame, known: DataFrame | None, order: str, content
     """Rows of contents that aren't known, the first of each in order, with doc_hash."""
     hashed = batch.where(col(content).isNotNull()).withColumn("doc_hash", content_hash(col(content), algorithm))
     fresh = first_of_each(hashed, F.col("doc_hash"), order)
-    return fresh if known is None else fresh.join(known.select("doc_hash"), "doc_hash", "left_anti")
+    if known is None:
+        return fresh
+    # the batch is the small side: its hashes go to the table, not the table's to the batch
+    asked = stored(fresh.select("doc_hash"), "asked")
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    old = known.select("doc_hash").join(F.broadcast(asked) if few else asked, "doc_hash", "left_semi").distinct()
+    return fresh.join(F.broadcast(old) if few else old, "doc_hash", "left_anti")
 
 
 def appender(path: str, order: str, content: str = "text", algorithm: str = "blake3") -> Callable[[DataFrame, int], None]:

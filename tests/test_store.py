@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.errors import DuplicateViewError, ExcludedError, IntegrityError, MissingDependencyError, ShardChangedError, UnsupportedVersionError
+from lodestone.errors import DuplicateViewError, ExcludedError, IntegrityError, MissingDependencyError, OutOfSyncError, ShardChangedError, UnsupportedVersionError
 from lodestone.functions import ed25519
 from lodestone.functions.blake3 import blake3
 from lodestone.functions.tokenizers import ByteTokenizer, WhitespaceTokenizer
@@ -263,3 +263,51 @@ def test_names_and_reports(spark, corpus):
     assert [tuple(r) for r in report.differing(a, b).collect()] == [("a", "a"), ("d", "b"), ("e", "b")]
     assert report.summary(corpus.documents(), ["lang"]).where("section = 'lang'").count() == 2
     assert report.ratio(3, 2) == 1.5 and report.ratio(3, 0) == 0.0
+
+
+def test_functions_as_filters_and_the_report(corpus):
+    assert [r.n for r in corpus.filter(lambda row: row["n"] > 2 and "content" not in row).orderBy("n").collect()] == [3, 4]
+    rows = {(r.section, r.value): r.n for r in corpus.summary(["lang"]).collect()}
+    assert rows["documents", None] == 3 and rows["lang", "fr"] == 1 and rows["tokens", "byte-level-v1"] == 22 and ("smt_root", corpus.smt_root().hex()) in rows
+
+
+def test_tokens_of_documents_that_arent_there(corpus):
+    with pytest.raises(OutOfSyncError):
+        sinks.table(corpus.documents().where("n != 4"), corpus.view("byte-level-v1"))
+
+
+def test_chunks_are_recorded_and_checked(spark, tmp_path):
+    text = "abc" * 50_000
+    made = Corpus.create(spark, f"{tmp_path}/c", readers.records(spark, [{"text": text}, {"text": text[1:]}]), [ByteTokenizer()])
+    stream = np.frombuffer((text + text[1:]).encode(), np.uint8).astype("<u2")
+    got = {r.chunk_id: (r.num_tokens, r.bits, bytes(r.chunk_hash)) for r in spark.read.parquet(f"{made.path}/chunks").collect()}
+    assert got == {k: (len(part), 16, blake3(part.tobytes())) for k in range(5) for part in [stream[k * 65_536 : (k + 1) * 65_536]]}
+    view = spark.read.parquet(f"{made.path}/tokens/tokenizer_id=byte-level-v1")
+    bad = view.withColumn("tokens", F.transform("tokens", lambda x, i: F.when(i == 7, F.lit(1)).otherwise(x)))
+    bad.write.parquet(f"{tmp_path}/bad")
+    spark.read.parquet(f"{tmp_path}/bad").write.mode("overwrite").parquet(f"{made.path}/tokens/tokenizer_id=byte-level-v1")
+    assert "chunks of byte-level-v1" in [r.check for r in made.verify().collect() if not r.ok]
+
+
+def test_blocks_begin_anew_where_one_is_full(spark):
+    sizes = [10, 50, 0, 200, 5, 5, 60, 100]
+    frame = spark.createDataFrame([(k, n, k % 2) for k, n in enumerate(sizes)], "k long, n long, s int")
+    want = []
+    for shard in (0, 1):
+        block = used = 0
+        for k, n in enumerate(sizes):
+            if k % 2 == shard:
+                want.append((shard, k, n, block, used))
+                used += n + 40
+                if used >= 120:
+                    block, used = block + 1, 0
+    assert sorted(map(tuple, views.block_layout(frame, "k", "n", F.col("s"), 120).collect())) == want
+
+
+def test_the_order_of_a_shuffled_list(spark):
+    pieces = list(range(57))
+    np.random.default_rng(9).shuffle(pieces)
+    assert loader.permutation(57, 9).tolist() == pieces
+    frame = spark.createDataFrame([(k,) for k in range(57)], "doc_ord long")
+    got = loader.by_document(frame, ["doc_ord"], 1, 2, 0, 2, shuffle_seed=9, listed=True)
+    assert [r.doc_ord for r in got.orderBy("number").collect()] == pieces[2::4]
