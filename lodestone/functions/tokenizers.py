@@ -30,6 +30,8 @@ class Tokenizer:
 
     tokenizer_id: str
     vocab_size: int
+    #: Whether ``count`` needs no tokens.
+    cheap_count = False
 
     def config(self) -> dict:
         raise NotImplementedError
@@ -73,6 +75,7 @@ class ByteTokenizer(Tokenizer):
 
     tokenizer_id: str = "byte-level-v1"
     vocab_size: int = 256
+    cheap_count = True
 
     def config(self) -> dict:
         return {"id": self.tokenizer_id, "kind": "byte", "vocab_size": self.vocab_size}

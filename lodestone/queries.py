@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as texts
 from lodestone.functions.blake3 import content_hash
 from lodestone.functions.canonical import hex_of, lossy_text
-from lodestone.functions.columns import shared_dir, ship
+from lodestone.functions.columns import shared_dir, ship, stored
 from lodestone.functions.tokenizers import ByteTokenizer, VocabularyTokenizer, WhitespaceTokenizer, byte_histogram, test_vector, token_bits
 from lodestone.operators import audit, loader, merkle, metadata, mixture, overlay, report, smt, views
 from lodestone.operators.dedup import first_of_each, group_sizes, survivors
@@ -619,23 +619,29 @@ def nonmember_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.claims(all_docs, spark.range(4).select(F.col("id").cast("int").alias("shard_ord")), asked, _excluded(spark, sf_dir), "hash", "shard_ord")
 
 
-@query(f"SELECT (SELECT count(*) FROM (SELECT lag(h) OVER (ORDER BY h) AS before, h FROM (SELECT sha256(text) AS h FROM {UNIQUE})) WHERE before >= h) AS violations")
+@query(f"SELECT source, count(*) FILTER (h <= before) AS violations FROM (SELECT source, h, lag(h) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM (SELECT source, doc_id, sha256(text) AS h FROM documents)) GROUP BY source HAVING count(*) FILTER (h <= before) > 0")
 def key_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = unique(spark, sf_dir).select(sha().alias("h"))
-    ranked = row_numbers(keys, ["h"], "rank").withColumn("part", F.substring("h", 1, 2))
-    return views.unsorted(ranked, "h", ["part"], "rank").agg(F.count("*").alias("violations"))
+    """How often the hash of a source's document isn't larger than that of the one before."""
+    keys = table(spark, sf_dir, "documents").select("source", "doc_id", sha().alias("h"))
+    return views.unsorted(keys, "h", ["source"], "doc_id").groupBy("source").agg(F.count("*").alias("violations"))
 
 
-@query("SELECT 0::BIGINT AS violations")
+_SOME = f"(SELECT token_offset, token_offset + token_count AS token_end FROM {PLACED} p WHERE doc_id % 7 <> 3)"
+
+
+@query(f"SELECT count(*) AS violations, 0::BIGINT AS of_the_whole FROM {_SOME} a WHERE token_offset <> 0 AND NOT EXISTS (SELECT 1 FROM {_SOME} b WHERE b.token_end = a.token_offset)")
 def source_map_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = views.source_map(counts(spark, sf_dir), ["doc_id"])
-    return views.gaps(placed.select("token_offset", "token_count")).agg(F.count("*").alias("violations"))
+    """Gaps in a source map that lost rows; the whole one has none."""
+    placed = stored(views.source_map(counts(spark, sf_dir), ["doc_id"]), "placed")
+    broken = views.gaps(placed.where("doc_id % 7 != 3").select("token_offset", "token_count")).agg(F.count("*").alias("violations"))
+    return broken.crossJoin(views.gaps(placed.select("token_offset", "token_count")).agg(F.count("*").alias("of_the_whole")))
 
 
-@query("SELECT 0::BIGINT AS out_of_range, count(*) AS documents FROM " + COUNTS + " t WHERE token_count > 0")
+@query(f"SELECT count(*) FILTER (largest >= 200) AS out_of_range, count(*) AS documents FROM (SELECT max(('0x' || h)::INTEGER) AS largest FROM {BYTES} b GROUP BY doc_id)")
 def token_range_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose tokens wouldn't fit a vocabulary of 200."""
     view = unique(spark, sf_dir).where("text != ''").select(ByteTokenizer().tokens(F.col("text")).alias("tokens"))
-    return view.agg(F.count_if(~views.in_range(F.col("tokens"), 256)).alias("out_of_range"), F.count("*").alias("documents"))
+    return view.agg(F.count_if(~views.in_range(F.col("tokens"), 200)).alias("out_of_range"), F.count("*").alias("documents"))
 
 
 # evidence

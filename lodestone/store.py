@@ -52,6 +52,10 @@ def ingest(rows: DataFrame, order: str = "source_ord", content: str = "content",
 
 def tokenize(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """(doc_ord, doc_hash, token_count, token_offset, tokens): a view; documents without tokens are left out."""
+    if tokenizer.cheap_count:  # offsets come first, from counts alone; tokens go from the contents to the view in one step
+        placed = views.source_map(docs.select("doc_ord", tokenizer.count(F.col("content")).alias("token_count")), ["doc_ord"])
+        met = docs.select("doc_ord", "doc_hash", "content").join(placed, "doc_ord")
+        return met.select("doc_ord", "doc_hash", "token_count", "token_offset", check_range(tokenizer.tokens(F.col("content")), tokenizer.vocab_size).alias("tokens"))
     tokens = docs.select("doc_ord", "doc_hash", check_range(tokenizer.tokens(F.col("content")), tokenizer.vocab_size).alias("tokens"))
     return views.source_map(tokens.withColumn("token_count", F.size("tokens").cast("long")), ["doc_ord"])
 
