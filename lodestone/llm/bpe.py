@@ -13,6 +13,7 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text whose pre-tokens share one index; a partition of more is encoded in several.
 PARTITION = 1 << 25
+#: Positions that enter the index at a time.
+BLOCK = 1 << 20
 
 
 @dataclass(eq=False)
@@ -77,8 +80,10 @@ def merge(data: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     n = len(data)
     if not n:
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-    sym = v.byte_ids[data].astype(np.int64)
-    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+    # positions and symbols take four bytes each: the index of a partition is the largest thing in a worker
+    at = np.int32 if n < 1 << 31 else np.int64
+    sym = v.byte_ids[data].astype(np.int32)
+    nxt, prv = np.arange(1, n + 1, dtype=at), np.arange(-1, n - 1, dtype=at)
     full = offsets[:-1] < offsets[1:]
     nxt[offsets[1:][full] - 1] = -1
     prv[offsets[:-1][full]] = -1
@@ -88,7 +93,7 @@ def merge(data: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
 
     def enter(where: np.ndarray, ranks: np.ndarray) -> None:
         some = ranks >= 0
-        where, ranks = where[some], ranks[some]
+        where, ranks = where[some].astype(at, copy=False), ranks[some]
         if not len(where):
             return
         order = np.argsort(ranks, kind="stable")
@@ -102,8 +107,9 @@ def merge(data: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
                 index[r] = [where[low:high]]
                 heapq.heappush(heap, r)
 
-    first = np.flatnonzero(nxt >= 0)
-    enter(first, _rank(v, sym[first], sym[first + 1]))
+    for low in range(0, n, BLOCK):
+        first = np.flatnonzero(nxt[low : low + BLOCK] >= 0) + low
+        enter(first, _rank(v, sym[first], sym[first + 1]))
     while heap:
         r = heapq.heappop(heap)
         lists = index.pop(r)
@@ -125,7 +131,7 @@ def merge(data: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
                     if a not in taken:
                         use.append(a)
                         taken.add(b)
-                p = np.array(use)
+                p = np.array(use, at)
                 q = nxt[p]
         sym[p] = r
         alive[q] = False
@@ -140,7 +146,7 @@ def merge(data: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
             where = np.concatenate([left, right])
             enter(where, _rank(v, sym[where], sym[nxt[where]]))
     counts = np.concatenate([[0], np.cumsum(alive)])
-    return sym[alive].astype(np.int32), counts[offsets]
+    return sym[alive], counts[offsets]
 
 
 def decode(tokens: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -161,25 +167,33 @@ def _gather(codes: np.ndarray, tokens: np.ndarray, offsets: np.ndarray) -> tuple
     return tokens[np.repeat(offsets[codes] - stops[:-1], n) + np.arange(stops[-1])], stops
 
 
+class _Numbers(dict):
+    """Numbers of pre-tokens, in the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, texts: pa.Array, find) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the pre-tokens of all texts, bounds of each text in them): a text at a time."""
+        codes = []
+        for text in texts.to_pylist():
+            found = find(text or "")
+            codes.append(np.fromiter(map(self.__getitem__, found), np.int32, len(found)))
+        return np.concatenate([np.zeros(0, np.int32), *codes]), np.concatenate([[0], np.cumsum([len(c) for c in codes], dtype=np.int64)])
+
+
 class _Partition:
     """Pre-tokens of the rows gathered so far."""
 
     def __init__(self, v: Vocabulary) -> None:
         self.v, self.find = v, regex.compile(v.pattern).findall
-        self.words: dict[str, int] = {}
+        self.words = _Numbers()
         self.parts: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, part: pa.RecordBatch) -> None:
-        found: list[str] = []
-        cuts = [0]
-        for text in part.column("text").to_pylist():
-            found += self.find(text or "")
-            cuts.append(len(found))
-        coded = pa.array(found, pa.string()).dictionary_encode()
-        ids = np.array([self.words.setdefault(w, len(self.words)) for w in coded.dictionary.to_pylist()], np.int32)
-        codes = ids[coded.indices.to_numpy()] if found else np.zeros(0, np.int32)
-        self.parts.append((part, codes, np.array(cuts)))
+        self.parts.append((part, *self.words.of(part.column("text"), self.find)))
         self.size += part.column("text").nbytes
 
     def encode(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -187,15 +201,38 @@ class _Partition:
         for part, codes, cuts in self.parts:
             flat, stops = _gather(codes, tokens, offsets)
             yield part, flat, stops[cuts]
-        self.words, self.parts, self.size = {}, [], 0
+        self.words, self.parts, self.size = _Numbers(), [], 0
 
-    def count(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        """The number of tokens of each row, without the tokens."""
-        _, offsets = merge(*_flat.flat(pa.array(self.words, pa.large_string())), self.v)
-        size = np.diff(offsets)
-        for part, codes, cuts in self.parts:
-            yield part, np.diff(np.concatenate([[0], np.cumsum(size[codes])])[cuts])
-        self.words, self.parts, self.size = {}, [], 0
+
+class Counter:
+    """Numbers of tokens without the tokens. Pre-tokens that were counted are known from then on; those that are new wait
+    until there are ``BLOCK`` bytes of them and share an index. At ``KNOWN`` pre-tokens all are forgotten."""
+
+    KNOWN = 1 << 19
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v, self.find = v, regex.compile(v.pattern).findall
+        self.words, self.sizes = _Numbers(), np.zeros(0, np.int32)
+        self.parts: list[tuple[list[pa.Array], np.ndarray, np.ndarray]] = []
+        self.bytes = 0
+
+    def add(self, texts: pa.Array, columns: list[pa.Array]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+        """Whatever is counted by now: columns that came with texts, and the number of tokens of each row."""
+        before = len(self.words)
+        codes, cuts = self.words.of(texts, self.find)
+        self.bytes += sum(map(len, islice(self.words, before, None)))
+        self.parts.append(([pa.array(c.to_pylist(), c.type) for c in columns], codes, cuts))  # copies let the batch go
+        if self.bytes >= BLOCK or len(self.words) >= self.KNOWN:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+        _, offsets = merge(*_flat.flat(pa.array(islice(self.words, len(self.sizes), None), pa.large_string())), self.v)
+        self.sizes = np.concatenate([self.sizes, np.diff(offsets).astype(np.int32)])
+        for columns, codes, cuts in self.parts:
+            yield columns, np.diff(np.concatenate([[0], np.cumsum(self.sizes[codes], dtype=np.int64)])[cuts])
+        self.parts, self.bytes = [], 0
+        if len(self.words) >= self.KNOWN:
+            self.words, self.sizes = _Numbers(), self.sizes[:0]
 
 
 def _encode(v: Vocabulary, partition: int):

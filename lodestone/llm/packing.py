@@ -102,19 +102,17 @@ def _count(id_name: str, text_name: str):
 
 
 def _count_bpe(v: bpe.Vocabulary):
-    def rows(gathered: bpe._Partition) -> Iterator[pa.RecordBatch]:
-        for part, n in gathered.count():
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(n)], ["doc_id", "mark", "n"])
+    def row(columns: list[pa.Array], n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n)], ["doc_id", "mark", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = bpe._Partition(v)
+        counter = bpe.Counter(v)
         for whole in batches:
-            for part in _flat.slices(whole, "text", _flat.BLOCK):
-                gathered.add(part)
-                if gathered.size >= bpe.PARTITION:
-                    yield from rows(gathered)
-        if gathered.parts:
-            yield from rows(gathered)
+            for part in _flat.slices(whole, "text", _flat.BLOCK // 2):
+                for done in counter.add(part.column("text"), [part.column("doc_id"), part.column("mark")]):
+                    yield row(*done)
+        for done in counter.flush():
+            yield row(*done)
 
     return run
 
