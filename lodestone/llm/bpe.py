@@ -13,11 +13,11 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from lodestone.llm import _flat
@@ -205,34 +205,43 @@ class _Partition:
 
 
 class Counter:
-    """Numbers of tokens without the tokens. Pre-tokens that were counted are known from then on; those that are new wait
-    until there are ``BLOCK`` bytes of them and share an index. At ``KNOWN`` pre-tokens all are forgotten."""
+    """Numbers of tokens without the tokens, from another encoder of the same ranks where it gives the same (``reachable``).
+    Its matcher gives up on very long runs of blanks: texts that have one are encoded here."""
 
-    KNOWN = 1 << 19
-
-    def __init__(self, v: Vocabulary) -> None:
+    def __init__(self, v: Vocabulary, same: bool) -> None:
         self.v, self.find = v, regex.compile(v.pattern).findall
-        self.words, self.sizes = _Numbers(), np.zeros(0, np.int32)
-        self.parts: list[tuple[list[pa.Array], np.ndarray, np.ndarray]] = []
-        self.bytes = 0
-
-    def add(self, texts: pa.Array, columns: list[pa.Array]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
-        """Whatever is counted by now: columns that came with texts, and the number of tokens of each row."""
-        before = len(self.words)
-        codes, cuts = self.words.of(texts, self.find)
-        self.bytes += sum(map(len, islice(self.words, before, None)))
-        self.parts.append(([pa.array(c.to_pylist(), c.type) for c in columns], codes, cuts))  # copies let the batch go
-        if self.bytes >= BLOCK or len(self.words) >= self.KNOWN:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
-        _, offsets = merge(*_flat.flat(pa.array(islice(self.words, len(self.sizes), None), pa.large_string())), self.v)
-        self.sizes = np.concatenate([self.sizes, np.diff(offsets).astype(np.int32)])
-        for columns, codes, cuts in self.parts:
-            yield columns, np.diff(np.concatenate([[0], np.cumsum(self.sizes[codes], dtype=np.int64)])[cuts])
-        self.parts, self.bytes = [], 0
-        if len(self.words) >= self.KNOWN:
-            self.words, self.sizes = _Numbers(), self.sizes[:0]
+        self.blanks = regex.compile(r"\s{512}").search
+        ranks = {t: r for r, t in enumerate(v.tokens) if t}
+        self.other = tiktoken.Encoding("other", pat_str=v.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if same else None
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text; 0 for null."""
+        return np.fromiter((self._count(t) if t else 0 for t in texts.to_pylist()), np.int64, len(texts))
+
+    def _count(self, text: str) -> int:
+        if self.other and not self.blanks(text):
+            return len(self.other(text))
+        words = _Numbers()
+        codes, _ = words.of(pa.array([text], pa.large_string()), self.find)
+        _, offsets = merge(*_flat.flat(pa.array(words, pa.large_string())), self.v)
+        return int(np.diff(offsets)[codes].sum())
+
+
+@cache
+def reachable(v: Vocabulary) -> bool:
+    """Whether merges make every token of its own bytes, in the pattern of this module. Other encoders look a pre-token up
+    as a whole first, which is the same only then; other patterns may mean different things to them."""
+    ranks = {t: r for r, t in enumerate(v.tokens) if t}
+    none = len(v.tokens)
+    for token in ranks:
+        parts = [token[k : k + 1] for k in range(len(token))]
+        while len(parts) > 1:
+            best = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+            k = best.index(min(best))
+            if best[k] == none:
+                return False
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return v.pattern == PATTERN
 
 
 def _encode(v: Vocabulary, partition: int):

@@ -101,18 +101,12 @@ def _count(id_name: str, text_name: str):
     return run
 
 
-def _count_bpe(v: bpe.Vocabulary):
-    def row(columns: list[pa.Array], n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*columns, pa.array(n)], ["doc_id", "mark", "n"])
-
+def _count_bpe(v: bpe.Vocabulary, same: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = bpe.Counter(v)
+        counter = bpe.Counter(v, same)
         for whole in batches:
-            for part in _flat.slices(whole, "text", _flat.BLOCK // 2):
-                for done in counter.add(part.column("text"), [part.column("doc_id"), part.column("mark")]):
-                    yield row(*done)
-        for done in counter.flush():
-            yield row(*done)
+            for part in _flat.slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array(counter.counts(part.column("text")))], ["doc_id", "mark", "n"])
 
     return run
 
@@ -158,7 +152,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     ship(spark)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"))
-    counted = stored(rows.mapInArrow(_count_bpe(vocabulary) if vocabulary else _count("doc_id", "text"), "doc_id long, mark long, n long").where("n > 0"), "token-counts")
+    counted = stored(rows.mapInArrow(_count_bpe(vocabulary, bpe.reachable(vocabulary)) if vocabulary else _count("doc_id", "text"), "doc_id long, mark long, n long").where("n > 0"), "token-counts")
     parts = F.ceil(F.col("n") / params.longest).cast("long")
     pieces = counted.select("doc_id", "mark", "n", parts.alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("piece"))
     start, stop = F.expr("(n * piece) div parts"), F.expr("(n * (piece + 1)) div parts")

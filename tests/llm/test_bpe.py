@@ -2,6 +2,7 @@ import base64
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,6 @@ pytestmark = pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no v
 
 def one(v, text):
     part = bpe._Partition(v)
-    import pyarrow as pa
 
     part.add(pa.RecordBatch.from_pydict({"text": [text]}))
     ((_, tokens, _),) = part.encode()
@@ -77,7 +77,23 @@ def test_round_trip_odd_and_empty(odd, empty):
 
 
 def test_flat_words_of_a_large_column():
-    import pyarrow as pa
 
     data, offsets = _flat.flat(pa.array(["ab", None, "c"], pa.large_string()))
     assert bytes(data) == b"abc" and offsets.tolist() == [0, 2, 2, 3]
+
+
+def test_counts_are_those_of_the_index():
+    v = bpe.load()
+    texts = ["", None, "Hello, world's end", "a" * 300_000, " " * 20_000 + "x", "!" * 50_000, "\n \t" * 2000, "漢字 É́ \x1c\x85 ​٣४ \U0001f600\U0001f468‍\U0001f469" * 50, " " * 511 + "b"]
+    texts += [chr(k) + "x" + chr(k) + "1" + chr(k) + "!" for k in range(0, 0x110000, 97) if not 0xD800 <= k < 0xE000]
+    assert bpe.reachable(v)
+    fast, own = bpe.Counter(v, True), bpe.Counter(v, False)
+    assert fast.counts(pa.array(texts)).tolist() == own.counts(pa.array(texts)).tolist()
+
+
+def test_tokens_out_of_reach_are_found():
+    lines = [base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)]
+    reach = bpe.vocabulary([*lines, base64.b64encode(b"ab") + b" 256", base64.b64encode(b"abc") + b" 257"])
+    apart = bpe.vocabulary([*lines, base64.b64encode(b"abc") + b" 256"])
+    assert bpe.reachable(reach) and not bpe.reachable(apart)
+    assert bpe.Counter(apart, bpe.reachable(apart)).counts(pa.array(["abc"])).tolist() == [3]
