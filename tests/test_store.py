@@ -311,3 +311,41 @@ def test_the_order_of_a_shuffled_list(spark):
     frame = spark.createDataFrame([(k,) for k in range(57)], "doc_ord long")
     got = loader.by_document(frame, ["doc_ord"], 1, 2, 0, 2, shuffle_seed=9, listed=True)
     assert [r.doc_ord for r in got.orderBy("number").collect()] == pieces[2::4]
+
+
+def test_chunks_are_never_rows_of_tokens(spark, tmp_path, monkeypatch):
+    """What is stored on the way to chunk records is hashes, and bytes of the chunks at the ends of tasks' runs."""
+    import lodestone.store as store
+
+    kept = []
+    monkeypatch.setattr(store, "stored", lambda df, name: kept.append(df) or df)
+    lengths, rng = [5, 0, 17, 300, 1, 64, 700, 3], np.random.default_rng(3)
+    tokens = [rng.integers(0, 256, n).tolist() for n in lengths]
+    at = np.cumsum([0, *lengths[:-1]]).tolist()
+    view = spark.createDataFrame(list(zip(at, tokens, strict=True)), "token_offset long, tokens array<int>")
+    stream = np.concatenate(tokens).astype("<u2")
+    want = [(k, len(x), 16, blake3(x.tobytes())) for k, x in enumerate(np.split(stream, range(64, len(stream), 64)))]
+    for made in (view.coalesce(1).sortWithinPartitions("token_offset"), view.repartition(3)):
+        got = store.chunk_records(made, 256, 64).orderBy("chunk_id").collect()
+        assert [(r.chunk_id, r.num_tokens, r.bits, bytes(r.chunk_hash)) for r in got] == want
+        assert not any(f.dataType.typeName() == "array" for f in kept[-1].schema)
+    assert kept[0].where("piece IS NOT NULL").count() <= 2
+
+
+def test_views_are_in_order(spark):
+    """A view follows the documents, so that a task's chunks are whole."""
+    from lodestone.store import tokenize
+
+    docs = spark.range(400).repartition(7).selectExpr("id AS doc_ord", "unhex(lpad(hex(id), 64, '0')) AS doc_hash", "encode(repeat('x', int(id % 9)), 'utf-8') AS content")
+    made = tokenize(docs, ByteTokenizer()).withColumn("task", F.spark_partition_id()).collect()
+    assert all(a.doc_ord < b.doc_ord for a, b in zip(made, made[1:], strict=False) if a.task == b.task)
+    assert {r.doc_ord: r.token_offset for r in made} == {k: sum(j % 9 for j in range(k)) for k in range(400) if k % 9}
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    from lodestone.functions import columns
+
+    with columns.scratch():
+        df = columns.stored(spark.range(3).toDF("a"), "x")
+        assert files.exists(spark, df._lodestone_path) and df.count() == 3
+    assert not files.exists(spark, df._lodestone_path)
