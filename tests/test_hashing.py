@@ -142,3 +142,32 @@ def test_sparse_root_and_proofs(spark):
     assert not smt.Proof(p.key, True, (b"\0" * 32, *p.siblings[1:])).verify(root)
     with pytest.raises(ValueError):
         smt.Proof(p.key, True, p.siblings[:-1]).verify(root)
+
+
+def test_sparse_trees_fold_as_a_plain_walk_does(spark):
+    """Roots and siblings equal those of a tree built node by node; neighbours that part late or early are both there."""
+    rng = np.random.default_rng(5)
+    keys = [rng.bytes(32) for _ in range(20)]
+    keys += [keys[0][:31] + bytes([keys[0][31] ^ 1]), keys[1][:16] + rng.bytes(16), bytes(32), b"\xff" * 32]
+    nodes = {int.from_bytes(k): smt.PRESENT for k in keys}
+    layers = [nodes]
+    for d in range(256):
+        up = {p >> 1: B.blake3(b"\x11" + nodes.get(p & ~1, smt.EMPTY[d]) + nodes.get(p | 1, smt.EMPTY[d])) for p in nodes}
+        nodes = up
+        layers.append(nodes)
+    frame = spark.createDataFrame([(bytearray(k),) for k in keys], "doc_hash binary")
+    assert smt.smt_root(frame) == nodes[0]
+    asked = [keys[0], keys[-3], keys[1][:16] + bytes(16), rng.bytes(32)]
+    for p in smt.proofs_for(frame, asked):
+        n = int.from_bytes(p.key)
+        assert list(p.siblings) == [layers[d].get((n >> d) ^ 1, smt.EMPTY[d]) for d in range(255, -1, -1)]
+        assert p.present == (p.key in keys) and p.verify(nodes[0])
+    left, right = (np.frombuffer(rng.bytes(32 * 5000), np.uint8).reshape(-1, 32) for _ in range(2))
+    assert [x.tobytes() for x in B.hash_pairs(0x11, left, right)] == B.hash_many([b"\x11" + a.tobytes() + b.tobytes() for a, b in zip(left, right, strict=True)])
+
+
+def test_few_keys_are_few_tasks_and_many_keep_theirs(spark):
+    """Partitions follow the number of keys, not the session's setting, and none is merged for being of few bytes."""
+    frame = spark.range(3 * smt.TASK_KEYS).selectExpr("unhex(sha2(string(id), 256)) AS doc_hash")
+    assert smt.bucket_roots(frame).rdd.getNumPartitions() == 3
+    assert smt.bucket_roots(frame.limit(9)).rdd.getNumPartitions() == 1
