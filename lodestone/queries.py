@@ -669,7 +669,7 @@ def audit_link_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = row_numbers(_events(spark, sf_dir), ["source", "doc_id"], "place")
     first = numbered.groupBy("source").agg(F.min("place").alias("first"))
     events = numbered.join(F.broadcast(first), "source").select("source", (F.col("place") - F.col("first")).alias("seq"), F.lit(0.0).alias("timestamp"), F.lit("ingestion").alias("event_type"), "payload")
-    log = events.join(audit.chain(events, "source"), ["source", "seq"])
+    log = stored(audit.chained(events, "source"), "log")
     broken = audit.broken_links(log, "source").groupBy("source").agg(F.count("*").alias("broken"))
     return log.groupBy("source").agg(F.count("*").alias("n")).join(broken, "source", "left").select("source", "n", F.coalesce("broken", F.lit(0)).cast("long").alias("broken"))
 

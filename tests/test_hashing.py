@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,23 @@ def test_few_keys_are_few_tasks_and_many_keep_theirs(spark):
     frame = spark.range(3 * smt.TASK_KEYS).selectExpr("unhex(sha2(string(id), 256)) AS doc_hash")
     assert smt.bucket_roots(frame).rdd.getNumPartitions() == 3
     assert smt.bucket_roots(frame.limit(9)).rdd.getNumPartitions() == 1
+
+
+def test_one_block_of_plain_numbers():
+    rng = np.random.default_rng(9)
+    items = [rng.bytes(64) for _ in range(50)] + [bytes(64), b"\xff" * 64]
+    assert [B.hash_64(x) for x in items] == B.hash_many(items)
+
+
+def test_one_chain_is_hashed_without_lanes(spark, monkeypatch):
+    """A long log of one scope takes no numpy call a step, equals the driver's log, and leaves tasks of few bytes apart."""
+    from lodestone.operators import audit
+
+    monkeypatch.setattr(audit, "hash_rows", None)
+    log = audit.AuditLog(clock=lambda: 0.0)
+    log.extend([("ingestion", {"size": k}) for k in range(300)])
+    made = audit._links("s", "blake3")([pa.RecordBatch.from_pydict({"s": ["x"] * n, "seq": list(range(k, k + n)), "timestamp": [0.0] * n, "event_type": ["ingestion"] * n, "payload": [f'{{"size": {j}}}' for j in range(k, k + n)]}) for k, n in ((0, 170), (170, 130))])
+    got = [r for b in made for r in b.column("chained_root").to_pylist()]
+    assert got == [e.chained_root for e in log.events]
+    events = spark.range(40).selectExpr("id % 5 AS s", "id DIV 5 AS seq", "0D AS timestamp", "'ingestion' AS event_type", "'{}' AS payload")
+    assert audit.chained(events, "s").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
