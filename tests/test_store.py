@@ -349,3 +349,20 @@ def test_scratch_tables_are_deleted(spark, tmp_path):
         df = columns.stored(spark.range(3).toDF("a"), "x")
         assert files.exists(spark, df._lodestone_path) and df.count() == 3
     assert not files.exists(spark, df._lodestone_path)
+
+
+@pytest.mark.parametrize("drop_last", [False, True])
+def test_shuffled_batches_are_those_of_one_generator_in_many_tasks(spark, monkeypatch, drop_last):
+    monkeypatch.setattr(loader, "BLOCK", 4)
+    tokens = np.random.default_rng(1).integers(0, 1000, 601)
+    view = spark.createDataFrame([(k, len(x), x.tolist()) for k, x in enumerate(np.split(tokens, [3, 90, 91, 400]))], "doc_id long, token_count long, tokens array<int>")
+    args = {"order": ["doc_id"], "size": 16, "rank": 1, "world": 2, "drop_last": drop_last}
+    plain = [x.copy() for x in loader.iterate(loader.load(view, **args))]
+    made = loader.load(view, **args, shuffle=True, epoch_seed=7)
+    rng = np.random.default_rng(loader.seed(7, 1, 0))
+    for x in plain:
+        rng.shuffle(x)
+    assert len(plain) > 16 and [x.tolist() for x in loader.iterate(made)] == [x.tolist() for x in plain]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [_block" in plan and "Repartition 1," not in plan
+    assert loader.load(view.limit(0), **args, shuffle=True).count() == 0
