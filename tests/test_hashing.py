@@ -192,3 +192,23 @@ def test_one_chain_is_hashed_without_lanes(spark, monkeypatch):
     assert got == [e.chained_root for e in log.events]
     events = spark.range(40).selectExpr("id % 5 AS s", "id DIV 5 AS seq", "0D AS timestamp", "'ingestion' AS event_type", "'{}' AS payload")
     assert audit.chained(events, "s").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_are_encoded_slice_by_slice(spark, monkeypatch):
+    """What a tokenizer is given at once is bounded by bytes, not by the rows of a batch; counts leave the worker as numbers."""
+    from lodestone.functions import arrow, canonical
+
+    texts = pa.array([b"ab", None, b"c" * 50, b"", b"d e f"], pa.binary())
+    assert list(arrow.slices(texts, 4)) == [(0, 2), (2, 1), (3, 1), (4, 1)]
+    assert [x for s in arrow.slices(texts.slice(1), 60) for x in texts.slice(1).slice(*s).to_pylist()] == texts.to_pylist()[1:]
+    assert list(arrow.slices(pa.array([[1, 2], [], [3] * 9, None]), 3)) == [(0, 2), (2, 1), (3, 1)]
+    assert VocabularyTokenizer.slice_bytes <= 1 << 20
+    tokenizer = WhitespaceTokenizer()
+    monkeypatch.setattr(WhitespaceTokenizer, "slice_bytes", 4)
+    want = [None if t is None else tokenizer.encode(t).tolist() for t in texts.to_pylist()]
+    frame = spark.createDataFrame([(k, None if t is None else bytearray(t)) for k, t in enumerate(texts.to_pylist())], "k int, t binary").coalesce(1)
+    generic = super(WhitespaceTokenizer, tokenizer).count(F.col("t"))
+    got = frame.select(tokenizer.tokens(F.col("t")).alias("ids"), generic.alias("n"), canonical.lossy_text_exact("t").alias("s")).collect()
+    assert [r.ids for r in got] == want and [r.n for r in got] == [None if w is None else len(w) for w in want]
+    bad = spark.createDataFrame([(bytearray(b"\xff\xe2\x82a"),), (None,), (bytearray(b"ok"),)], "t binary").coalesce(1)
+    assert [r[0] for r in bad.select(canonical.lossy_text_exact("t")).collect()] == [b"\xff\xe2\x82a".decode("utf-8", "replace"), None, "ok"]
