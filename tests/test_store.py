@@ -3,17 +3,19 @@ import json
 import tarfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.errors import DuplicateViewError, ExcludedError, IntegrityError, MissingDependencyError, OutOfSyncError, ShardChangedError, UnsupportedVersionError
-from lodestone.functions import ed25519
+from lodestone.functions import columns, ed25519
 from lodestone.functions.blake3 import blake3
 from lodestone.functions.tokenizers import ByteTokenizer, WhitespaceTokenizer
 from lodestone.operators import audit, loader, metadata, mixture, overlay, prefix, report, views
 from lodestone.operators.mixture import Subset
 from lodestone.sources import files, readers, sinks
-from lodestone.store import Corpus, Dataset
+from lodestone.store import Corpus, Dataset, tokenize
 
 RECORDS = [{"text": "hello", "lang": "en", "n": 1}, {"text": "hello", "lang": "fr", "n": 2}, {"text": "", "lang": None, "n": 3}, {"text": "three short words", "lang": "fr", "n": 4}]
 
@@ -366,3 +368,50 @@ def test_shuffled_batches_are_those_of_one_generator_in_many_tasks(spark, monkey
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [_block" in plan and "Repartition 1," not in plan
     assert loader.load(view.limit(0), **args, shuffle=True).count() == 0
+
+
+def test_batches_and_row_groups_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    conf = {"spark.sql.execution.arrow.maxBytesPerBatch": "64m", "spark.sql.parquet.columnarReaderBatchSize": "4096"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(columns, "GROUP_BYTES", 1 << 20)
+        rows = spark.range(0, 3000, numPartitions=1).select(F.concat(F.lit("x" * 8000), F.col("id").cast("string")).alias("content"), F.col("id").alias("source_ord"))
+        path = str(tmp_path / "c")
+        view = Corpus.create(spark, path, rows, [ByteTokenizer()], clock=lambda: 0.0, snapshot_id="0").view("byte-level-v1")
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+        seen = view.coalesce(1).select("tokens").mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in seen) == 3000 and max(r.size for r in seen) <= 2 * columns.BATCH_BYTES
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == columns.SCAN_ROWS
+        text = spark.range(0, 400, numPartitions=1).select(*(F.sha2((F.col("id") * 1000 + k).cast("string"), 512).alias(f"c{k}") for k in range(80)))
+        columns.written(text, str(tmp_path / "t"))
+        assert max(pq.ParquetFile(f).num_row_groups for f in (tmp_path / "t").glob("*.parquet")) > 1
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+        columns.bounded(spark)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"  # lower bounds stay
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_documents_are_encoded_once(spark, tmp_path, monkeypatch):
+    encoded = spark.sparkContext.accumulator(0)
+
+    def tokens(self, content):
+        @F.arrow_udf("array<int>")
+        def run(values: pa.Array) -> pa.Array:
+            encoded.add(len(values))
+            return pa.array([[len(v.as_py())] for v in values], pa.list_(pa.int32()))
+
+        return run(content)
+
+    monkeypatch.setattr(WhitespaceTokenizer, "tokens", tokens)
+    docs = spark.range(50).select(F.col("id").alias("doc_ord"), F.encode(F.col("id").cast("string"), "UTF-8").alias("doc_hash"), F.encode(F.repeat(F.lit("a"), F.col("id").cast("int")), "UTF-8").alias("content"))
+    rows = tokenize(docs, WhitespaceTokenizer()).orderBy("doc_ord").collect()
+    assert [(r.doc_ord, r.token_offset, list(r.tokens)) for r in rows] == [(k, k, [k]) for k in range(50)]
+    assert encoded.value == 50
