@@ -54,7 +54,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, most: int = 2 * BLOCK) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, name: str, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
     n = batch.num_rows
     if n == 0:

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import _flat
-from lodestone.llm._common import col, forget, fresh, ship, stored
+from lodestone.llm._common import col, forget, fresh, ship, stored, trimmed
 
 
-#: Signatures that one task compares at a time, and pairs whose slots are compared at once.
-BLOCK, PAIRS = 4096, 1 << 18
+#: Signatures that one task compares at a time, pairs whose slots are compared at once (some 700 bytes each), and signatures
+#: whose keys are made at once.
+BLOCK, PAIRS, KEYED = 4096, 1 << 15, 2048
 
 
 @dataclass(frozen=True)
@@ -163,8 +164,8 @@ def _matrix(column: pa.Array, p: NearDedup) -> np.ndarray:
 def _enumerate(p: NearDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 8192):
-                part = whole.slice(at, 8192)
+            for at in range(0, whole.num_rows, KEYED):
+                part = whole.slice(at, KEYED)
                 k = keys(_matrix(part.column("sig"), p), p)
                 nodes = np.repeat(part.column("node").to_numpy(), k.shape[1])
                 masks = np.tile(np.arange(k.shape[1], dtype=np.int16), len(k))
@@ -314,15 +315,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long, what can't be is an error."""
     ship(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL AND text != ''")
-    signed = rows.mapInArrow(_sign(params, "id", "text"), "id long, sig binary")
+    signed = rows.mapInArrow(trimmed(_sign(params, "id", "text")), "id long, sig binary")
     signed = stored(signed.select("id", F.xxhash64("sig").alias("node"), "sig"), "signatures")
     members = stored(signed.select("id", "node").distinct(), "members")
     nodes = signed.groupBy("node").agg(F.first("sig").alias("sig"))
     sigs = nodes.join(members.groupBy("node").agg(F.count("*").alias("weight")), "node")
-    keyed = nodes.mapInArrow(_enumerate(params), "key long, node long, mask short")
-    shared = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, mask short")
+    keyed = nodes.mapInArrow(trimmed(_enumerate(params)), "key long, node long, mask short")
+    shared = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_shared), "key long, node long, mask short")
     buckets = _blocks(stored(shared, "buckets")).join(sigs, "node").repartition("key").sortWithinPartitions("key")
-    verified = stored(buckets.mapInArrow(_verify(params), "u long, v long, links long"), "verified")
+    verified = stored(buckets.mapInArrow(trimmed(_verify(params)), "u long, v long, links long"), "verified")
     roots = connected(verified.where("v IS NOT NULL").select("u", "v"))
     links = verified.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("others"))
     met = members.join(roots, "node", "left").join(sigs.select("node", "weight"), "node").join(links, "node", "left")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import _flat, bpe
-from lodestone.llm._common import col, ship, stored
+from lodestone.llm._common import col, ship, stored, trimmed
 
 
 @dataclass(frozen=True)
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     ship(spark)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("mark"))
-    counted = stored(rows.mapInArrow(_count_bpe(vocabulary, bpe.reachable(vocabulary)) if vocabulary else _count("doc_id", "text"), "doc_id long, mark long, n long").where("n > 0"), "token-counts")
+    counted = stored(rows.mapInArrow(trimmed(_count_bpe(vocabulary, bpe.reachable(vocabulary)) if vocabulary else _count("doc_id", "text")), "doc_id long, mark long, n long").where("n > 0"), "token-counts")
     parts = F.ceil(F.col("n") / params.longest).cast("long")
     pieces = counted.select("doc_id", "mark", "n", parts.alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("piece"))
     start, stop = F.expr("(n * piece) div parts"), F.expr("(n * (piece + 1)) div parts")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import _flat, _gbt
-from lodestone.llm._common import col, fresh, ship
+from lodestone.llm._common import col, fresh, ship, trimmed
 
 _CLASSES = ("upper", "lower", "digit", "blank", "newline", "stop", "comma", "pipe", "mark", "symbol", "other", "wide")
 _CLASS = np.full(256, _CLASSES.index("other"), np.uint8)
@@ -152,7 +152,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     columns are ignored, whatever their names. Ids are cast to long, what can't be is an error."""
     ship(docs.sparkSession)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_score(model, "text", ["doc_id", "score", "is_good"]), "doc_id long, score double, is_good boolean")
+    return rows.mapInArrow(trimmed(_score(model, "text", ["doc_id", "score", "is_good"])), "doc_id long, score double, is_good boolean")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -161,4 +161,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     ship(docs.sparkSession)
     score, good = fresh(docs, "quality_score", "quality_good")
     schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(good, T.BooleanType())])
-    return docs.mapInArrow(_score(model, text_col, schema.names), schema).where(F.col(good)).drop(score, good)
+    return docs.mapInArrow(trimmed(_score(model, text_col, schema.names)), schema).where(F.col(good)).drop(score, good)

@@ -105,3 +105,18 @@ def test_links_are_those_of_all_pairs(docs_of, monkeypatch, block):
     got = {r.doc_id: (r.keep_id, r.n_links) for r in near_dedup.near_duplicates(docs_of(pairs), params=p).collect()}
     assert {i: n for i, (_, n) in got.items()} == links(pairs, p)
     assert sorted((i, k) for i, (k, _) in got.items()) == brute(pairs, p)
+
+
+def test_a_large_bucket_is_compared_in_little_memory():
+    import tracemalloc
+
+    p = near_dedup.NearDedup()
+    rng = np.random.default_rng(1)
+    sigs = np.repeat(rng.integers(0, 1 << 16, (8, p.slots)).astype(np.uint16), 100, 0)
+    n = len(sigs)
+    weight, mask, side = np.ones(n, np.int64), np.zeros(n, np.int16), np.zeros(n, np.int32)
+    tracemalloc.start()
+    links = near_dedup._links(sigs, weight, mask, side, np.array([0, n]), p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (links == 99).all() and peak < 40e6
