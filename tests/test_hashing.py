@@ -212,3 +212,12 @@ def test_texts_are_encoded_slice_by_slice(spark, monkeypatch):
     assert [r.ids for r in got] == want and [r.n for r in got] == [None if w is None else len(w) for w in want]
     bad = spark.createDataFrame([(bytearray(b"\xff\xe2\x82a"),), (None,), (bytearray(b"ok"),)], "t binary").coalesce(1)
     assert [r[0] for r in bad.select(canonical.lossy_text_exact("t")).collect()] == [b"\xff\xe2\x82a".decode("utf-8", "replace"), None, "ok"]
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.json"), reason="no vocabulary file here")
+def test_vocabulary_leaves_out_offsets_and_threads():
+    t = VocabularyTokenizer.from_file("bpe", "/opt/tokenizers/byte_bpe_50k.json")
+    texts = ["Hello, w\u00f6rld", "", "a  b\n\n c" * 50, "\u65e5\u672c 123"]
+    want = [e.ids for e in t.backend.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in t.encode_batch([x.encode() for x in texts])] == want
+    assert VocabularyTokenizer.slice_bytes <= 1 << 17 and os.environ["TOKENIZERS_PARALLELISM"] == "false"
