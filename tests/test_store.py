@@ -415,3 +415,16 @@ def test_documents_are_encoded_once(spark, tmp_path, monkeypatch):
     rows = tokenize(docs, WhitespaceTokenizer()).orderBy("doc_ord").collect()
     assert [(r.doc_ord, r.token_offset, list(r.tokens)) for r in rows] == [(k, k, [k]) for k in range(50)]
     assert encoded.value == 50
+
+
+def test_a_loader_computes_its_view_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("array<int>")
+    def tokens(values: pa.Array) -> pa.Array:
+        computed.add(len(values))
+        return pa.array([[1] * (v.as_py() % 3) for v in values], pa.list_(pa.int32()))
+
+    view = spark.range(30).select("id", tokens("id").alias("tokens")).withColumn("token_count", F.size("tokens").cast("long"))
+    got = loader.load(view, ["id"], 4).collect()
+    assert sum(len(r.tokens) for r in got) == 30 and computed.value == 30
