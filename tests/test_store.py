@@ -428,3 +428,15 @@ def test_a_loader_computes_its_view_once(spark):
     view = spark.range(30).select("id", tokens("id").alias("tokens")).withColumn("token_count", F.size("tokens").cast("long"))
     got = loader.load(view, ["id"], 4).collect()
     assert sum(len(r.tokens) for r in got) == 30 and computed.value == 30
+
+
+def test_numbered_rows_dont_pass_through_python(spark, monkeypatch):
+    plans, kept = [], prefix.stored
+    monkeypatch.setattr(prefix, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), kept(df, name))[1])
+    keys = [int(k) for k in np.random.default_rng(3).permutation(500)]
+    frame = spark.createDataFrame([(k, f"text {k}") for k in keys], "k int, text string")
+    for n in (1, 3, 7):
+        got = prefix.row_numbers(frame.repartition(5), ["k"], "at", n)
+        assert got.columns == ["k", "text", "at"] and sorted(map(tuple, got.collect())) == [(k, f"text {k}", k) for k in range(500)]
+    assert prefix.row_numbers(frame.limit(0), ["k"], "at", 3).count() == 0
+    assert len(plans) == 4 and not any("InArrow" in p or "Python" in p for p in plans)
