@@ -392,9 +392,9 @@ def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT (token_offset + i) // 65536 AS chunk_id, count(*) AS n, sum(('0x' || h)::INTEGER)::BIGINT AS token_sum, sum((token_offset + i) % 65536 * ('0x' || h)::INTEGER)::BIGINT AS weighted FROM {BYTES} b JOIN {PLACED} p USING (doc_id) GROUP BY 1")
 def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole stream of a view, position by position, summed up for each chunk."""
-    placed = views.source_map(counts(spark, sf_dir), ["doc_id"])
-    docs = unique(spark, sf_dir).join(placed, "doc_id")
-    return views.chunk_sums(docs.select("token_offset", ByteTokenizer().tokens(F.col("text")).alias("tokens")))
+    docs, tokenizer = unique(spark, sf_dir), ByteTokenizer()
+    placed = views.source_map(docs.select("doc_id", tokenizer.count(F.col("text")).alias("token_count")), ["doc_id"])
+    return views.encoded_chunk_sums(docs.join(placed, "doc_id").select("token_offset", F.col("text").alias("content")), tokenizer)
 
 
 @query(f"SELECT (idx % 4)::INTEGER AS slot, count(*) AS batches, sum(n)::BIGINT AS tokens FROM {batched(1024)} t GROUP BY 1")

@@ -440,3 +440,37 @@ def test_numbered_rows_dont_pass_through_python(spark, monkeypatch):
         assert got.columns == ["k", "text", "at"] and sorted(map(tuple, got.collect())) == [(k, f"text {k}", k) for k in range(500)]
     assert prefix.row_numbers(frame.limit(0), ["k"], "at", 3).count() == 0
     assert len(plans) == 4 and not any("InArrow" in p or "Python" in p for p in plans)
+
+
+def test_a_long_document_is_summed_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(views, "SLICE", 1000)
+    rng = np.random.default_rng(4)
+    contents = [rng.integers(0, 256, n).astype(np.uint8) for n in (0, 3, 5000, 0, 999, 1001, 1)]
+    offset = np.array([7, 7, 100, 5100, 6000, 9000, 20_000])
+    want = {}
+    for at, x in zip(offset, contents, strict=True):
+        for i, v in enumerate(x.tolist()):
+            n, total, weighted = want.get(c := (at + i) // 64, (0, 0, 0))
+            want[c] = n + 1, total + v, weighted + v * ((at + i) % 64)
+    tokens = pa.RecordBatch.from_arrays([pa.array(offset), pa.array([x.astype(np.int32) for x in contents], pa.list_(pa.int32()))], ["token_offset", "tokens"])
+    for batch, run in (
+        (tokens, views._sums(64)),
+        (pa.RecordBatch.from_arrays([pa.array(offset), pa.array([x.tobytes() for x in contents], pa.binary())], ["token_offset", "content"]), views._encoded_sums(64, ByteTokenizer().config())),
+    ):
+        got, out = {}, list(run(iter([batch.slice(0, 4), batch.slice(4)])))
+        for c, *sums in (r.values() for b in out for r in b.to_pylist()):
+            got[c] = tuple(x + y for x, y in zip(got.get(c, (0, 0, 0)), sums, strict=True))
+        assert got == want and max(sum(b.column("n").to_pylist()) for b in out) <= 1000
+
+
+def test_the_stream_is_summed_where_it_is_encoded(spark, docs_of, tmp_path):
+    import __spark_entry__
+
+    texts = ["abc", "", "é" * 70_000, "abc", "tail"]
+    docs_of(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = __spark_entry__.queries()["token_stream"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    data = np.frombuffer("".join([*texts[:3], texts[4]]).encode(), np.uint8).astype(np.int64)
+    want = [(k, len(x), int(x.sum()), int((x * np.arange(len(x))).sum())) for k in range(3) for x in [data[k * 65_536 : (k + 1) * 65_536]]]
+    assert sorted(map(tuple, got.collect())) == want
