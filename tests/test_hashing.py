@@ -221,3 +221,16 @@ def test_vocabulary_leaves_out_offsets_and_threads():
     want = [e.ids for e in t.backend.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in t.encode_batch([x.encode() for x in texts])] == want
     assert VocabularyTokenizer.slice_bytes <= 1 << 17 and os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+def test_short_pieces_are_gathered_as_blocks():
+    import tracemalloc
+
+    pieces = [bytes([65 + k % 26]) * (k % 90) for k in range(4096)]
+    data, offsets = np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+    tracemalloc.start()
+    got = B.hash_flat(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [got[k].tobytes() for k in (0, 1, 63, 64, 65, 89, 4095)] == [B.blake3(pieces[k]) for k in (0, 1, 63, 64, 65, 89, 4095)]
+    assert peak < 2_000_000  # positions of single bytes took a megabyte for each 2048 lanes, and as much again at the end of the data
